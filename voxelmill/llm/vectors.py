@@ -25,7 +25,7 @@ def bounded_sample(rows: DataFrame, most: int):
     import numpy as np
 
     got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).toArrow().to_pydict()
-    return np.array(got["vec_id"], dtype=np.int64), np.array(got["x"], dtype=np.float64).reshape(len(got["x"]), -1)
+    return np.array(got["vec_id"], dtype=np.int64), np.array(got["x"], dtype=np.float64).reshape(len(got["x"]), -1 if got["x"] else 0)
 
 
 def matrix(table, name: str = "x"):
