@@ -123,3 +123,20 @@ def default_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
+
+
+class Taken:
+    """Places of a text that spans cover; asks in logarithmic time."""
+
+    def __init__(self, spans):
+        from itertools import accumulate
+
+        ordered = sorted(spans)
+        self.starts = [s for s, _ in ordered]
+        self.ends = list(accumulate((e for _, e in ordered), max))
+
+    def touches(self, start: int, end: int) -> bool:
+        from bisect import bisect_left
+
+        i = bisect_left(self.starts, end)
+        return i > 0 and self.ends[i - 1] > start

@@ -14,7 +14,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelmill.llm._shared import settle, text_or_empty
+from voxelmill.llm._shared import Taken, settle, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "email_spelled", "phone_local", "national_id", "person")
 #: The patterns of the four base kinds, then those of the looser ones.
@@ -95,10 +95,10 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     for kind, pattern in enumerate(PATTERNS):
         if (kind == 0 and "@" not in text) or (kind == 3 and "+" not in text) or (kind in (1, 2, 5, 6) and not numbers) or (kind == 4 and "[at]" not in text and "(at)" not in text):
             continue
+        taken = Taken((s, e) for s, _, e in found) if kind > 3 else None
         for m in pattern.finditer(text):
-            s, e = m.span()
-            if valid(kind, m.group()) if kind < 4 else not any(a < e and s < b for a, _, b in found):
-                found.append((s, kind, e))
+            if not taken.touches(*m.span()) if taken else valid(kind, m.group()):
+                found.append((m.start(), kind, m.end()))
     return sorted(found)
 
 

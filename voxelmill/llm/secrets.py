@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelmill.llm._shared import settle, text_or_empty
+from voxelmill.llm._shared import Taken, settle, text_or_empty
 
 #: The patterns of the base kinds, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -51,12 +51,12 @@ def entropy(value: str) -> float:
     return -sum(c / n * log2(c / n) for c in Counter(value).values())
 
 
-def opaque_spans(text: str, taken: list[tuple[int, int]], least_entropy: float) -> Iterator[tuple[int, int, int, int, int]]:
+def opaque_spans(text: str, taken: Taken, least_entropy: float) -> Iterator[tuple[int, int, int, int, int]]:
     """Strings of 20 and more characters with lower and upper case and digits, and of at least
     ``least_entropy`` bits a character, that touch no base span."""
     for m in OPAQUE.finditer(text):
         value = m.group()
-        if any(c.isdigit() for c in value) and any(c.islower() for c in value) and any(c.isupper() for c in value) and entropy(value) >= least_entropy and not any(s < m.end() and m.start() < e for s, e in taken):
+        if any(c.isdigit() for c in value) and any(c.islower() for c in value) and any(c.isupper() for c in value) and entropy(value) >= least_entropy and not taken.touches(*m.span()):
             yield 3, m.start(), m.end(), m.start(), m.end()
 
 
@@ -78,7 +78,7 @@ def scan(docs: DataFrame, *, owner: Column | str = "source", repository: Column
             for text in rows.column(3):
                 text = text.as_py()
                 base = sorted(base_spans(text), key=lambda s: (s[1], s[0]))
-                more = opaque_spans(text, [s[1:3] for s in base], least_entropy)
+                more = opaque_spans(text, Taken(s[1:3] for s in base), least_entropy)
                 counts.append([sum(s[0] == k for s in base) for k in range(3)])
                 bases.append(",".join(f"{KINDS[s[0]]}:{s[1]}:{s[2]}" for s in base))
                 spans.append([dict(zip(("kind", "start", "end", "value_start", "value_end"), s, strict=True), hash=xxhash.xxh64_intdigest(text[s[3] : s[4]]) - (1 << 63)) for s in sorted([*base, *more], key=lambda s: (s[1], s[0]))])
