@@ -7,10 +7,12 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from voxelmill import errors
-from voxelmill.operators import convert, segments
+from voxelmill.operators import convert, segments, structures
+from voxelmill.operators.dose_grid import DoseQuery
 from voxelmill.operators.grid import create_grid, uniform_grid
 from voxelmill.sources import codec, dicom
 from voxelmill.streaming import ingest
@@ -138,6 +140,51 @@ def test_conversions(spark):
         convert.segmentation_to_structure(spark, labels, 1, threshold=0.5)
 
 
+def test_loading_a_structure_set(spark):
+    box = lambda z, size=3.0: [(0.0, 0.0, z), (size, 0.0, z), (size, size, z), (0.0, size, z)]
+    inner = [(1.0, 1.0, 3.0), (2.4, 1.0, 3.0), (2.4, 2.4, 3.0), (1.0, 2.4, 3.0)]
+    rois = [
+        dicom.Roi(0, "ring", [dicom.Contour("CLOSED_PLANAR", box(3.0, 8.0)), dicom.Contour("CLOSED_PLANAR", inner)], frame_uid="9.9"),
+        dicom.Roi(0, "refs", [dicom.Contour("CLOSED_PLANAR", box(0.0), ["1.9.2"]), dicom.Contour("CLOSED_PLANAR", box(8.0), ["1.9.77"]), dicom.Contour("POINT", box(0.0)[:1])]),
+        dicom.Roi(0, "none", []),
+    ]
+    parsed = dicom.parse_structures(dicom.write_structures(rois))
+    got = structures.load(spark, parsed, G, slices=[(f"1.9.{k}", k) for k in range(4)])
+    assert {(r.mask_id, r.interpretation, r.all_by_sop) for r in got.rois.collect()} == {("1", "nested-even-odd", False), ("2", "none", False), ("3", None, None)}
+    assert {n.code for n in got.notes} == {"EMPTY_ROI", "FRAME_OF_REFERENCE_MISMATCH"}
+    codes = {(r.mask_id, r.contour_no, r.code) for r in got.diagnostics.collect()}
+    assert codes == {("1", 1, "NESTED_CLOSED_PLANAR_INTERPRETED"), ("2", 0, "SOP_REFERENCE_PLANE_MISMATCH"), ("2", 0, "CONTOUR_PLANE_DISTANCE"), ("2", 1, "SOP_REFERENCE_UNRESOLVED"), ("2", 2, "UNSUPPORTED_CONTOUR_GEOMETRY")}
+    assert {r.k for r in got.masks.filter("mask_id = '2'").collect()} == {2, 3}
+    with pytest.raises(errors.FrameOfReferenceMismatchError):
+        structures.load(spark, parsed, G, strictness="strict")
+    assert "FRAME_OF_REFERENCE_MISMATCH" not in {n.code for n in structures.load(spark, parsed, G, strictness="silent").notes}
+    mixed = dicom.parse_structures(dicom.write_structures([dicom.Roi(0, "x", [dicom.Contour("CLOSED_PLANAR", box(0.0)), dicom.Contour("CLOSEDPLANAR_XOR", box(0.0))])]))
+    with pytest.raises(errors.XorHomogeneityError):
+        structures.load(spark, mixed, G)
+    back = dicom.parse_structures(structures.from_mask(got.masks.filter("mask_id = '1'"), G, "ring"))
+    again = structures.load(spark, back, G).masks
+    assert {(r.k, r.r, r.c) for r in again.collect()} == {(r.k, r.r, r.c) for r in got.masks.filter("mask_id = '1'").collect()}
+
+
+def test_dose_queries_say_how_they_were_made(spark):
+    g = uniform_grid(9, 9, 9)
+    field = g.voxel_table(spark).select("k", "r", "c", F.lit(10.0).alias("v"))
+    inner = uniform_grid(4, 4, 4, origin=(2, 2, 2))
+    mask = inner.voxel_table(spark).select(F.lit("m").alias("mask_id"), "k", "r", "c")
+    for parts in (None, 2):
+        q = DoseQuery(field, g, supersample=parts)
+        s = q.statistics(mask, inner).first()
+        assert (s.min_value, s.max_value, s.voxels, s.method.supersample, s.method.resampled) == (10, 10, 64, parts or 1, parts is None)
+        assert {r.value for r in q.dose_at([0, 95, 100], mask, inner).collect()} == {10}
+        assert [r.fraction for r in q.volume_at([5, 10, 20], mask, inner).orderBy("threshold").collect()] == [1, 1, 0]
+        assert q.histogram(mask, inner, 4).count() == 5
+    for bad in ({"supersample": 5}, {"method": "cubic"}):
+        with pytest.raises(ValueError):
+            DoseQuery(field, g, **bad)
+    with pytest.raises(ValueError):
+        DoseQuery(field, g).dose_at([101], mask, inner)
+
+
 def test_two_segments_of_a_label_map_must_not_meet(spark):
     rows = spark.createDataFrame([("1", 0, 0, 0), ("2", 0, 0, 0)], "mask_id string, k int, r int, c int")
     with pytest.raises(Exception, match="two segments claim one voxel"):

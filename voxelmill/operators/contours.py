@@ -42,7 +42,7 @@ def associate(contours: DataFrame, grid: Grid, slices: DataFrame | None = None)
     k), else the plane nearest to the first point; ``via_sop``, ``unresolved`` (there are
     references, none is known), ``k_geo``, ``distance_mm`` and ``tolerance_mm`` (half the
     thickness; null on a single plane)."""
-    first = _xyz(F.col("points")[0])
+    first = _xyz(F.get("points", F.lit(0)))
     s = grid.projection(first)
     out = contours.withColumn("k_geo", grid.nearest(s))
     if slices is None:
@@ -102,7 +102,7 @@ def nesting(placed: DataFrame, grid: Grid) -> DataFrame:
     """mask_id, k, contour_no, inside: whether the first point of a contour lies in another one of
     its mask and plane. Points meet only edges of their own mask and plane."""
     shapes = placed.filter(fillable())
-    x, y = grid.pixel(_xyz(F.col("points")[0]), F.col("k"))
+    x, y = grid.pixel(_xyz(F.get("points", F.lit(0))), F.col("k"))
     firsts = shapes.select("mask_id", "k", "contour_no", x.alias("px"), y.alias("py"))
     other = edges(shapes, grid).withColumnRenamed("contour_no", "other_no")
     meets = (F.least("y0", "y1") <= F.col("py")) & (F.col("py") < F.greatest("y0", "y1"))

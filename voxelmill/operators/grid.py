@@ -262,3 +262,11 @@ def reversed_flags(planes: DataFrame, key: str = "grid_id", order: str = "i") ->
     """key, reversed: every projection lies over 1e-6 below the one before in input order."""
     step = F.col("proj") - F.lag("proj").over(Window.partitionBy(key).orderBy(order))
     return planes.select(key, step.alias("step")).groupBy(key).agg(F.coalesce(F.bool_and(F.col("step") < -1e-6), F.lit(False)).alias("reversed"))
+
+
+def ordered_frames(frames: DataFrame, key: str, offset: str = "offset", frame: str = "frame") -> DataFrame:
+    """Adds ``place``: the position of each frame by offset (then as stored), and ``reordered``:
+    whether any frame of its document moves."""
+    w = Window.partitionBy(key)
+    out = frames.withColumn("place", F.row_number().over(w.orderBy(offset, frame)) - 1).withColumn("_stored", F.row_number().over(w.orderBy(frame)) - 1)
+    return out.withColumn("reordered", F.bool_or(F.col("place") != F.col("_stored")).over(w)).drop("_stored")

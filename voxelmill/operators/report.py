@@ -51,6 +51,17 @@ def agreement(ours: DataFrame, theirs: DataFrame, kinds: dict[str, str]) -> Data
     return both.select("name", "metric", "ours", "theirs", delta.alias("delta"), (F.abs(delta) <= F.greatest(F.col("_t.abs"), F.col("_t.rel") * F.abs("theirs"))).alias("within"))
 
 
+def point_ratios(ours: DataFrame, original: DataFrame) -> DataFrame:
+    """mask_id, ours, original, ratio: the points of both sides' contours."""
+    total = lambda df, n: df.groupBy("mask_id").agg(F.sum(F.size("points")).alias(n))
+    return total(ours, "ours").join(total(original, "original"), "mask_id").withColumn("ratio", F.col("ours") / F.col("original"))
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """Results as JSON lines."""
+    rows.write.mode("overwrite").json(path)
+
+
 def spreads(planes: DataFrame, key: str) -> DataFrame:
     """key, planes, min_gap, mean_gap, max_gap of the gaps between sorted projections."""
     from pyspark.sql import Window

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelmill.functions import columns as fn
-from voxelmill.operators import convert, masks, report, segments
-from voxelmill.plans.catalog import H, L, masked, register, rounded
+from voxelmill.operators import convert, grid, masks, report, segments, structures
+from voxelmill.operators.dose_grid import DoseQuery
+from voxelmill.plans.catalog import H, L, RASTER, TRILINEAR, masked, register, rounded
 from voxelmill.sources import dicom
 from voxelmill.sources import tables as t
 
@@ -168,3 +169,38 @@ def structure_to_segmentation(spark, d):
     data, _ = convert.structure_to_segmentation(spark, dicom.parse_structures(outlines), "C", L)
     files = spark.createDataFrame([("seg", bytearray(data))], "doc string, content binary")
     return dicom.read_masks(files).select("k", "r", "c")
+
+
+@register("frame_ordering", "WITH f AS (SELECT o_custkey AS doc, o_orderkey AS frame, o_totalprice AS offs FROM orders), p AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY offs, frame) AS a, row_number() OVER (PARTITION BY doc ORDER BY frame) AS b FROM f) SELECT doc, frame, (a - 1)::INT AS place, bool_or(a <> b) OVER (PARTITION BY doc) AS reordered FROM p", prelude=False)
+def frame_ordering(spark, d):
+    rows = t.read(spark, d, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("frame"), F.col("o_totalprice").alias("offset"))
+    return grid.ordered_frames(rows, "doc").select("doc", "frame", "place", "reordered")
+
+
+@register("point_ratio", """, side AS (SELECT m.*, s, ([-1, 0, 1, 0])[s + 1] AS dr, ([0, 1, 0, -1])[s + 1] AS dc FROM ms m CROSS JOIN range(4) q(s)),
+o AS (SELECT mask_id, count(*) AS ours FROM side WHERE NOT EXISTS (SELECT 1 FROM ms x WHERE x.mask_id = side.mask_id AND x.k = side.k AND x.r = side.r + dr AND x.c = side.c + dc) GROUP BY 1)
+SELECT mask_id, ours, 2 * ours AS original, 0.5::DOUBLE AS ratio FROM o""")
+def point_ratio(spark, d):
+    from voxelmill.operators import contours
+
+    ours = contours.vectorize(t.masks(spark, d), L)
+    return report.point_ratios(ours, ours.union(ours))
+
+
+@register("dose_on_another_grid", f", pts AS (SELECT (k * 8 + r) * 30 + c AS pid, x, y, z FROM tp) {TRILINEAR}, val2 AS (SELECT coalesce(val, 0.0)::FLOAT::DOUBLE AS v FROM tp LEFT JOIN tri ON pid = (k * 8 + r) * 30 + c) SELECT round(min(v), 2) AS min_value, round(max(v), 2) AS max_value, count(*) AS voxels, true AS resampled FROM val2")
+def dose_on_another_grid(spark, d):
+    every = t.TARGET.voxel_table(spark).select(F.lit("all").alias("mask_id"), "k", "r", "c")
+    out = DoseQuery(t.field(spark, d), L).statistics(every, t.TARGET)
+    return rounded(out.select("min_value", "max_value", "voxels", F.col("method.resampled").alias("resampled")), "min_value", "max_value", digits=2)
+
+
+@register("structure_set_masks", RASTER + " SELECT mask_id, k, r, c FROM filled")
+def structure_set_masks(spark, d):
+    """The event contours as a structure set document, loaded whole."""
+    rows = t.contours(spark, d).orderBy("mask_id", "contour_no").collect()
+    rois: dict[str, dicom.Roi] = {}
+    for r in rows:
+        rois.setdefault(r.mask_id, dicom.Roi(0, r.mask_id, [])).contours.append(dicom.Contour(r.geometric_type, [(p.x, p.y, p.z) for p in r.points]))
+    loaded = structures.load(spark, dicom.parse_structures(dicom.write_structures(list(rois.values()))), L)
+    named = loaded.rois.select("mask_id", "name")
+    return loaded.masks.join(named, "mask_id").select(F.col("name").alias("mask_id"), "k", "r", "c")
