@@ -183,6 +183,16 @@ class Grid:
         i, area = F.col("id"), self.rows * self.cols
         return spark.range(self.voxels).select(F.expr(f"cast(id div {area} as int)").alias("k"), F.expr(f"cast((id % {area}) div {self.cols} as int)").alias("r"), (i % self.cols).cast("int").alias("c"))
 
+    def placed_voxels(self, spark: SparkSession) -> DataFrame:
+        """All voxels k, r, c with their patient coordinates x, y, z. Starts from the planes, so that a
+        plane's origin is an attribute of its rows and not looked up for each of them."""
+        self.require_budget()
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        origins = spark.createDataFrame([(k, *p) for k, p in enumerate(self.planes)], "k int, ox double, oy double, oz double").repartition(min(len(self.planes), 256), "k")
+        rows = origins.withColumn("r", every(self.rows)).withColumn("c", every(self.cols))
+        at = lambda i, o: F.col(o) + F.lit(float(self.row_dir[i])) * F.col("c") * F.lit(float(self.spacing[1])) + F.lit(float(self.col_dir[i])) * F.col("r") * F.lit(float(self.spacing[0]))
+        return rows.select("k", "r", "c", *(at(i, o).alias(o[1]) for i, o in enumerate(("ox", "oy", "oz"))))
+
     def patient(self, k: Column, r: Column, c: Column) -> tuple[Column, Column, Column]:
         """Patient coordinates of index columns."""
         origin = [F.array(*(F.lit(float(p[i])) for p in self.planes))[k] for i in range(3)]

@@ -43,10 +43,9 @@ def inside(grid: Grid) -> Column:
 
 def _offsets(spark: SparkSession, grid: Grid) -> tuple[DataFrame, tuple[Column, Column, Column]]:
     centre, n = grid.centre(), grid.normal
-    p = grid.patient(F.col("k"), F.col("r"), F.col("c"))
-    d = [p[i] - F.lit(float(centre[i])) for i in range(3)]
+    d = [F.col(v) - F.lit(float(centre[i])) for i, v in enumerate("xyz")]
     along = lambda v: d[0] * float(v[0]) + d[1] * float(v[1]) + d[2] * float(v[2])
-    return grid.voxel_table(spark), (along(grid.row_dir), along(grid.col_dir), along(n))
+    return grid.placed_voxels(spark), (along(grid.row_dir), along(grid.col_dir), along(n))
 
 
 def _phantom(rows: DataFrame, keep: Column, mask_id: str) -> DataFrame:

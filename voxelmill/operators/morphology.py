@@ -35,33 +35,31 @@ def squared_distances(masks: DataFrame, grid: Grid) -> DataFrame:
     one plane, or one row of all planes. Planes are at their mean distance."""
     grid.require_budget()
     rows, cols, planes, (pr, pc) = grid.rows, grid.cols, len(grid.planes), grid.spacing
-    schema = "mask_id string, k int, r int, c int, d2 double"
-
-    def table(name, k, r, c, d2):
-        import pyarrow as pa
-
-        return pa.table({"mask_id": pa.array([name] * len(d2), pa.string()), "k": pa.array(k, pa.int32()), "r": pa.array(r, pa.int32()), "c": pa.array(c, pa.int32()), "d2": pa.array(d2, pa.float64())})
 
     def in_plane(t):
+        """One row for each row of pixels of a plane, its squared distances as an array."""
         import numpy as np
+        import pyarrow as pa
 
         seed = np.full((rows, cols), np.inf)
         seed[t.column("r").to_numpy(), t.column("c").to_numpy()] = 0
-        d2 = min_plus(np.ascontiguousarray(min_plus(seed, pc).T), pr).T
-        r, c = np.divmod(np.arange(rows * cols), cols)
-        return table(t.column("mask_id")[0].as_py(), np.full(rows * cols, t.column("k")[0].as_py()), r, c, d2.ravel())
+        d2 = np.ascontiguousarray(min_plus(np.ascontiguousarray(min_plus(seed, pc).T), pr).T)
+        line = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * cols), pa.array(d2.ravel()))
+        return pa.table({"mask_id": pa.array([t.column("mask_id")[0].as_py()] * rows, pa.string()), "k": pa.array(np.full(rows, t.column("k")[0].as_py(), np.int32)), "r": pa.array(np.arange(rows, dtype=np.int32)), "line": line})
 
     def through(t):
         import numpy as np
+        import pyarrow as pa
 
         lines = np.full((cols, planes), np.inf)
-        lines[t.column("c").to_numpy(), t.column("k").to_numpy()] = t.column("d2").to_numpy()
-        d2 = min_plus(lines, grid.mean_spacing)
-        c, k = np.divmod(np.arange(cols * planes), planes)
-        return table(t.column("mask_id")[0].as_py(), k, np.full(cols * planes, t.column("r")[0].as_py()), c, d2.ravel())
+        lines[:, t.column("k").to_numpy()] = t.column("line").combine_chunks().flatten().to_numpy().reshape(-1, cols).T
+        d2 = lines if planes == 1 else min_plus(lines, grid.mean_spacing)
+        c, k = np.divmod(np.arange(cols * planes, dtype=np.int32), planes)
+        n = len(k)
+        return pa.table({"mask_id": pa.array([t.column("mask_id")[0].as_py()] * n, pa.string()), "k": pa.array(k.astype(np.int32)), "r": pa.array(np.full(n, t.column("r")[0].as_py(), np.int32)), "c": pa.array(c.astype(np.int32)), "d2": pa.array(d2.ravel())})
 
-    flat = masks.select(*ID).groupBy("mask_id", "k").applyInArrow(in_plane, schema)
-    return flat if planes == 1 else flat.groupBy("mask_id", "r").applyInArrow(through, schema)
+    flat = masks.select(*ID).groupBy("mask_id", "k").applyInArrow(in_plane, "mask_id string, k int, r int, line array<double>")
+    return flat.groupBy("mask_id", "r").applyInArrow(through, "mask_id string, k int, r int, c int, d2 double")
 
 
 def distance_transform(masks: DataFrame, grid: Grid, *, signed: bool = False) -> DataFrame:
@@ -90,7 +88,7 @@ def _check(mm: float) -> None:
 
 
 #: Up to so many offsets a ball is spread by a join-free explode; beyond, the distance decides.
-BALL = 512
+BALL = 64
 
 
 def dilate(masks: DataFrame, grid: Grid, mm: float) -> DataFrame:

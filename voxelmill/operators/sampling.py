@@ -72,10 +72,8 @@ def sample(points: DataFrame, field: DataFrame, grid: Grid, *, method: str = "tr
 
 
 def _targets(field: DataFrame, target: Grid) -> DataFrame:
-    rows = target.voxel_table(field.sparkSession)
-    x, y, z = target.patient(F.col("k"), F.col("r"), F.col("c"))
     i = (F.col("k").cast("long") * target.rows + F.col("r")) * target.cols + F.col("c")
-    return rows.select(i.alias("point_id"), x.alias("x"), y.alias("y"), z.alias("z"))
+    return target.placed_voxels(field.sparkSession).select(i.alias("point_id"), "x", "y", "z")
 
 
 def resample_field(field: DataFrame, grid: Grid, target: Grid, *, method: str = "trilinear", outside: float = 0.0, kernel: bool | None = None) -> DataFrame:
