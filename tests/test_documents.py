@@ -135,6 +135,10 @@ def test_conversions(spark):
         convert.segmentation_to_structure(spark, soft, 5, threshold=0.5)
     _, cut = convert.segmentation_to_structure(spark, soft, 1, threshold=0.4)
     assert [s["kind"] for s in cut.lossy_steps] == ["threshold", "vectorize"] and cut.lossy_steps[0]["voxels_after"] == int(a.sum())
+    _, raw = convert.segmentation_to_structure(spark, soft, 1, threshold=128, scale="raw")
+    assert raw.lossy_steps[0]["voxels_after"] == int(a.sum()) and raw.lossy_steps[0]["maximum"] == 255
+    _, none = convert.segmentation_to_structure(spark, soft, 1, threshold=200, scale="raw")
+    assert none.notes == ["no voxel reaches the threshold", "the segment has no voxels"]
     labels = dicom.parse_segmentation(dicom.write_segmentation("LABELMAP", G, [(dicom.Segment(1, "L"), a)]))
     with pytest.raises(errors.SegmentationTypeMismatchError):
         convert.segmentation_to_structure(spark, labels, 1, threshold=0.5)

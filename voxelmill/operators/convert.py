@@ -78,16 +78,21 @@ def segmentation_to_structure(spark: SparkSession, seg: dicom.Segmentation, numb
     record = Provenance("segmentation-to-structure", summary(seg.grid))
     if seg.kind == "BINARY":
         values = seg.mask(number)
+        if threshold is not None:
+            record.notes.append("the threshold was ignored: a binary segment needs none")
     else:
         if threshold is None:
             raise errors.MissingThresholdError("this segment is not binary: give a threshold")
-        top = 1.0 if scale == "unit" else float(seg.maximum or 0)
-        if scale not in ("unit", "raw") or not 0 < threshold <= max(top, 0):
-            if seg.kind == "FRACTIONAL":
-                raise ValueError(f"the threshold is in (0, {top:g}]")
-        fraction = seg.field(number)
-        values = fraction >= (threshold if scale == "unit" else threshold / seg.maximum)
-        record.lossy_steps.append({"kind": "threshold", "threshold": threshold, "scale": scale, "voxels_before": int((fraction > 0).sum()), "voxels_after": int(values.sum())})
+        top = {"unit": 1, "raw": seg.maximum or 255}.get(scale)
+        if top is None or not 0 < threshold <= top:
+            raise ValueError(f"the threshold {threshold} ({scale}) is not in (0, {top}]")
+        stored = seg.field(number) if scale == "unit" else seg.raw_field(number)
+        values = stored >= threshold
+        if seg.fractional_type is None:
+            record.notes.append("whether the values are probabilities or occupancies is not declared")
+        if not values.any():
+            record.notes.append("no voxel reaches the threshold")
+        record.lossy_steps.append({"kind": "threshold", "threshold": threshold, "scale": scale, "fractional_type": seg.fractional_type, "maximum": seg.maximum, "voxels_before": int((stored > 0).sum()), "voxels_after": int(values.sum())})
     label = name or next(s.label for s in seg.segments if s.number == number) or f"segment-{number}"
     mask = sparse(spark, values, "m")
     loops = contours.vectorize(mask, seg.grid)

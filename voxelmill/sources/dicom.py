@@ -272,8 +272,8 @@ class Segmentation:
                 out[k] |= pixels == (number if self.kind == "LABELMAP" else 1)
         return out
 
-    def field(self, number: int):
-        """Fractions from 0 to 1 as floats."""
+    def raw_field(self, number: int):
+        """Stored values as floats."""
         import numpy as np
 
         self._need(number)
@@ -282,9 +282,15 @@ class Segmentation:
         out = np.zeros((len(self.grid.planes), self.grid.rows, self.grid.cols), np.float32)
         for n, k, pixels in self.frames:
             if n == number:
-                out[k] = pixels / self.maximum
+                out[k] = pixels
         return out
 
+    def field(self, number: int):
+        """Fractions from 0 to 1 as floats."""
+        import numpy as np
+
+        return (self.raw_field(number).astype(np.float64) / (self.maximum or 255)).astype(np.float32)
+
     def support(self, number: int):
         return self.field(number) > 0 if self.kind == "FRACTIONAL" else self.mask(number)
 
