@@ -173,8 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_rows: int = 20_000) -> A
     return fit(x, np.array([rows["y"][i] for i in order], dtype=np.float64))
 
 
-def score_documents(docs: DataFrame, model: AdditiveModel, *, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns and ``score`` (0 to 1) of every whole text. Null text is empty text,
+def score_documents(docs: DataFrame, model: AdditiveModel, *, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The ``keep`` columns and the score (0 to 1, as ``name``) of every whole text. Null text is empty text,
     which has a score like any other; rows that repeat repeat; an empty table gives no row."""
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"k{i} {kinds[c]}" for i, c in enumerate(keep)), "score double"])
@@ -188,4 +188,4 @@ def score_documents(docs: DataFrame, model: AdditiveModel, *, keep: tuple[str, .
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(model.score(x))], [*(f"k{i}" for i in range(len(keep))), "score"])
 
     out = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), text_or_empty().alias("text")).mapInArrow(kernel, schema)
-    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "score")
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.col("score").alias(name))

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelmill.llm._shared import Taken, settle, text_or_empty
+from voxelmill.llm._shared import Taken, fresh, settle, text_or_empty
 
 #: The patterns of the base kinds, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -124,10 +124,11 @@ def redact(docs: DataFrame, *, mask: str = "[SECRET]", **options) -> DataFrame:
     """``docs`` with the values of live-looking secrets masked in ``text``, and ``n_chars`` (if
     there) to match. Documents without any are left as they are. Matching is by doc_id and text,
     so rows that repeat an id stay apart; null doc_ids and texts match themselves."""
-    marked = docs.withColumn("_digest", F.xxhash64("doc_id", "text"))
+    digest, found_, spans = (fresh(n, docs.columns) for n in ("_digest", "_found", "_spans"))
+    marked = docs.withColumn(digest, F.xxhash64("doc_id", "text"))
     found = find_secrets(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text", "source", "lang"), **options)
-    live = found.select(F.col("doc_id").alias("_found"), F.filter("spans", lambda s: s["live"]).alias("_spans")).filter(F.size("_spans") > 0).dropDuplicates(["_found"])
-    joined = marked.join(live, F.col("_digest") == F.col("_found"), "left")
+    live = found.select(F.col("doc_id").alias(found_), F.filter("spans", lambda s: s["live"]).alias(spans)).filter(F.size(spans) > 0).dropDuplicates([found_])
+    joined = marked.join(live, F.col(digest) == F.col(found_), "left")
     # from left to right; a span that starts inside the one before only adds what sticks out
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
@@ -136,8 +137,9 @@ def redact(docs: DataFrame, *, mask: str = "[SECRET]", **options) -> DataFrame:
         masked = F.when(s["value_start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"])
         return F.struct(masked.alias("out"), F.greatest(acc["at"], s["value_end"]).alias("at"))
 
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
-    out = joined.withColumn("text", F.when(F.col("_found").isNull(), F.col("text")).otherwise(clean))
+    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.length("text"))))
+    untouched = F.col(found_).isNull()
+    out = joined.withColumn("text", F.when(untouched, F.col("text")).otherwise(clean))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_found").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(untouched, F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
