@@ -409,6 +409,15 @@ def test_top_k_is_exact(spark):
     assert topk.top_k(table.limit(0), table).count() == 0 and topk.top_k(table, table.limit(0)).count() == 0
     few = vectors(spark, rows[:3])
     assert topk.top_k(few, few).count() == 6
+    many = vectors(spark, [*[rows[0]] * 300, *rows[1:60], (7, rows[0][1])])
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(many, many.filter("vec_id in (0, 5, 7)"), shard_rows=50).collect())
+    usable = [(i, np.floor(64 * v).astype(int)) for i, v in good([*[rows[0]] * 300, *rows[1:60], (7, rows[0][1])])]
+    expected = []
+    for i in (0, 5, 7):
+        q = min((v.tolist() for j, v in usable if j == i))
+        best = sorted((-int(np.dot(q, v)), j) for j, v in usable if j != i)[:20]
+        expected += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert got == expected
 
 
 def test_approximate_neighbours_recall_and_order(spark):

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelmill.llm.vectors import bounded_sample, matrix, ranked, usable
+from voxelmill.llm.vectors import bounded_sample, matrix, one_query_each, ranked, shard_of, usable
 
 BITS, SUBSTRINGS = 64, 8
 
@@ -105,7 +105,8 @@ def nearest(embeddings: DataFrame, queries: DataFrame, *, k: int = 10, recall: f
 
     Both tables have vec_id and embedding. Vectors that are null, zero, of an unusual length, or
     that hold null or non-finite components take no part, nor do rows without vec_id. A query
-    never finds rows of its own vec_id. Rows that repeat are candidates each. Without usable
+    never finds rows of its own vec_id. Rows that repeat are candidates each; of queries that share a
+    vec_id the one with the least vector counts. Without usable
     vectors there is no row. Other columns are not read.
     """
     rows = usable(embeddings, zero=False)
@@ -114,12 +115,12 @@ def nearest(embeddings: DataFrame, queries: DataFrame, *, k: int = 10, recall: f
     if not len(ids):
         return ranked(rows.sparkSession.createDataFrame([], schema), k, F.col("score"))
     rotation, d = learn(x, k=k, recall=recall), x.shape[1]
-    asked = usable(queries, zero=False).filter(F.size("x") == d)
+    asked = one_query_each(usable(queries, zero=False).filter(F.size("x") == d))
     n, n_asked = rows.count(), asked.count()
     shards = max(-(-n // shard_rows), min(least_shards, -(-n // 512)))
     blocks = max(-(-n_asked // query_block), 1)
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    data = rows.select("vec_id", "x", F.pmod(F.xxhash64("vec_id", "x"), F.lit(shards)).cast("int").alias("shard"), every(blocks).alias("block"))
+    data = rows.select("vec_id", "x", shard_of(shards).alias("shard"), every(blocks).alias("block"))
     asks = asked.select("vec_id", "x", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"))
 
     def search(key, asks, data):

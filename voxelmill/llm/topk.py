@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelmill.llm.vectors import bounded_sample, matrix, ranked, usable
+from voxelmill.llm.vectors import bounded_sample, matrix, one_query_each, ranked, shard_of, usable
 
 #: Greater components would let scores pass the range of a long.
 GREATEST = 1 << 28
@@ -86,7 +86,8 @@ def top_k(embeddings: DataFrame, queries: DataFrame, *, k: int = 20, scale: int
 
     Components become ``floor(scale * component)``. Vectors that are null, of an unusual length,
     or that hold null or non-finite components, or ones of 2^28 and more, take no part, nor do
-    rows without vec_id. Zero vectors take part. Rows that repeat are candidates each. Without
+    rows without vec_id. Zero vectors take part. Rows that repeat are candidates each; of queries
+    that share a vec_id the one with the least vector counts. Without
     usable vectors there is no row. Other columns are not read.
     """
     import numpy as np
@@ -97,7 +98,7 @@ def top_k(embeddings: DataFrame, queries: DataFrame, *, k: int = 20, scale: int
     empty = rows.sparkSession.createDataFrame([], schema)
     if not len(sample):
         return ranked(empty, k, F.desc("score"))
-    asked = integers(queries, scale).filter(F.size("x") == sample.shape[1])
+    asked = one_query_each(integers(queries, scale).filter(F.size("x") == sample.shape[1]))
     n, n_asked = rows.count(), asked.count()
     if not n_asked:
         return ranked(empty, k, F.desc("score"))
@@ -105,23 +106,27 @@ def top_k(embeddings: DataFrame, queries: DataFrame, *, k: int = 20, scale: int
     # query groups: at most ``cells`` of them by pivots; a group of very many queries is dealt into blocks
     centres = pivots_of(bounded_sample(asked, sample_rows)[1], min(cells, -(-n_asked // query_rows)))
     data, asks = with_cells(rows, pivots), with_cells(asked, centres)
-    same = rows.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    # summaries: for each cell its radius and the least distances, enough for k besides a query's own rows
-    need = k + same
+    # summaries: for each cell its radius and the ids nearest to the pivot. A query may be none but
+    # one of k + 1 different ids, so k of them are its candidates
+    need = k + 1
     order = Window.partitionBy("cell").orderBy("far", "vec_id")
     salted = Window.partitionBy("cell", "salt").orderBy("far", "vec_id")
-    few = data.select("cell", "far", "vec_id", F.pmod(F.xxhash64("vec_id"), F.lit(32)).alias("salt")).withColumn("i", F.row_number().over(salted)).filter(F.col("i") <= need)
-    least = few.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= need).select("cell", "far").toArrow().to_pydict()
+    few = data.groupBy("cell", "vec_id").agg(F.min("far").alias("far")).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(32))).withColumn("i", F.row_number().over(salted)).filter(F.col("i") <= need)
+    least = few.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= need).select("cell", "vec_id", "far").toArrow().to_pydict()
     norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
     groups = asks.groupBy("cell").agg(F.max("far").alias("r"), F.max(norm).alias("m"), F.count("*").alias("n")).toArrow().to_pydict()
     pivot_norm = np.linalg.norm(pivots, axis=1)
     slack = 1 + 1e-9
     bound, reach = {}, {}
+    ids, of_id = np.unique(np.array(least["vec_id"], dtype=np.int64), return_inverse=True)
     for g, r, m, _ in zip(*(groups[c] for c in ("cell", "r", "m", "n")), strict=True):
         middle = pivots @ centres[g]
         cell, far = np.array(least["cell"], dtype=np.int64), np.array(least["far"])
         low = middle[cell] - (r * pivot_norm[cell] + m * far) * slack
-        bound[g] = np.partition(low, len(low) - need)[len(low) - need] - 1e-6 * abs(low).max() if len(low) >= need else -np.inf
+        # of an id that is in several cells, its best bound
+        best = np.full(len(ids), -np.inf)
+        np.maximum.at(best, of_id, low)
+        bound[g] = np.partition(best, len(best) - need)[len(best) - need] - 1e-6 * abs(low).max() if len(best) >= need else -np.inf
         reach[g] = (middle + r * pivot_norm * slack, m * slack)
     blocks = {g: max(1, -(-c // (4 * query_rows))) for g, c in zip(groups["cell"], groups["n"], strict=True)}
     shards = max(1, -(-n // shard_rows))
@@ -138,7 +143,7 @@ def top_k(embeddings: DataFrame, queries: DataFrame, *, k: int = 20, scale: int
                     part = b.take(pa.array(keep))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.full(len(keep), g, np.int32)), pa.array(np.full(len(keep), block, np.int32))], ["vec_id", "x", "g", "block"])
 
-    sent = data.mapInArrow(send, "vec_id long, x array<double>, g int, block int").withColumn("shard", F.pmod(F.xxhash64("vec_id", "x"), F.lit(shards)).cast("int"))
+    sent = data.mapInArrow(send, "vec_id long, x array<double>, g int, block int").withColumn("shard", shard_of(shards))
     of = F.create_map(*(F.lit(v) for item in blocks.items() for v in item))
     asks = asks.select("vec_id", "x", F.col("cell").alias("g"), F.pmod(F.xxhash64("vec_id"), of[F.col("cell")]).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
 

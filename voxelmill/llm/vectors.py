@@ -20,6 +20,17 @@ def usable(embeddings: DataFrame, *, zero: bool) -> DataFrame:
     return rows.filter(F.size("x") == (sizes["d"] if sizes else 0))
 
 
+def one_query_each(queries: DataFrame) -> DataFrame:
+    """Of query rows that share a vec_id, the one with the least vector."""
+    return queries.groupBy("vec_id").agg(F.min("x").alias("x"))
+
+
+def shard_of(shards: int):
+    """The shard of a data row. The partition it was read in counts too, so rows that repeat very
+    often are spread; a task that is run again reads the same partition."""
+    return F.pmod(F.xxhash64("vec_id", "x", F.spark_partition_id()), F.lit(shards)).cast("int")
+
+
 def bounded_sample(rows: DataFrame, most: int):
     """The ids and vectors of the ``most`` rows whose ids have the least hashes, on the driver."""
     import numpy as np
