@@ -46,7 +46,8 @@ def _within(grid: Grid) -> Column:
 
 def sample(points: DataFrame, field: DataFrame, grid: Grid, *, method: str = "trilinear", outside: float = 0.0) -> DataFrame:
     """The points (point_id, x, y, z) with ``value``: trilinear between the eight voxels around, or
-    the nearest one; ``outside`` over half a voxel off in the plane or outside the plane stack."""
+    the nearest one; ``outside`` over half a voxel off in the plane, outside the plane stack, or where
+    a voxel that it needs has no value."""
     if method not in ("trilinear", "nearest"):
         raise ValueError(f"unknown method {method}")
     at = continuous_index(points, grid).withColumn("inside", _within(grid))
@@ -103,8 +104,8 @@ def resample_field(field: DataFrame, grid: Grid, target: Grid, *, method: str =
         for b in batches:
             for k in b.column(0).to_pylist():
                 v = sample_plane(shared.value, grid, target, k, method, outside)
-                keep = np.flatnonzero(~np.isnan(v))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keep), k, np.int32)), pa.array((keep // target.cols).astype(np.int32)), pa.array((keep % target.cols).astype(np.int32)), pa.array(v[keep])], ["k", "r", "c", "v"])
+                r, c = np.divmod(np.arange(len(v), dtype=np.int32), target.cols)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k, np.int32)), pa.array(r.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array(v)], ["k", "r", "c", "v"])
 
     planes = field.sparkSession.range(len(target.planes), numPartitions=min(len(target.planes), 256)).select(F.col("id").cast("int").alias("k"))
     return planes.mapInArrow(fill, "k int, r int, c int, v float")
@@ -137,7 +138,7 @@ def sample_plane(dense, grid: Grid, target: Grid, k: int, method: str, outside:
         mix = lambda a, b, t: a + (b - a) * t
         plane = [mix(mix(at(0, 0, e), at(1, 0, e), fx - x0), mix(at(0, 1, e), at(1, 1, e), fx - x0), fy - y0) for e in ((0,) if n == 1 else (0, 1))]
         v = plane[0] if n == 1 else mix(plane[0], plane[1], fz - z0)
-    return np.where(good, v, outside).astype(np.float32)
+    return np.where(good & ~np.isnan(v), v, outside).astype(np.float32)
 
 
 def resample_mask(masks: DataFrame, grid: Grid, target: Grid) -> DataFrame:
