@@ -96,8 +96,8 @@ def format_conversations(conversations: DataFrame, *, budget: int = 2048, tokens
 
 def read_back(windows: DataFrame) -> DataFrame:
     """One row per window of ``format_conversations``, parsed from its text: conv_id, win,
-    ``turns`` (role and text of its new turns, unescaped) and ``targets`` (the texts under the
-    loss mask, unescaped)."""
+    ``turns`` (role and text of its new turns, unescaped), ``targets`` (the texts under the loss
+    mask, unescaped) and ``chars`` (the length of the formatted text)."""
     pieces = F.split("text", r"<\|im_end\|>\n")
     new = F.slice(pieces, (F.col("n_context") + 1).cast("int"), F.greatest(F.size(pieces) - 1 - F.col("n_context").cast("int"), F.lit(0)))
     body = F.transform(new, lambda p: F.substring(p, len(START) + 1, F.length(p)))
@@ -107,7 +107,7 @@ def read_back(windows: DataFrame) -> DataFrame:
         return F.struct(unescaped_role(name).alias("role"), unescaped(F.substring(p, F.length(name) + 2, F.length(p))).alias("text"))
 
     targets = F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])))
-    return windows.select("conv_id", "win", F.transform(body, parsed).alias("turns"), targets.alias("targets"))
+    return windows.select("conv_id", "win", F.transform(body, parsed).alias("turns"), targets.alias("targets"), F.length("text").alias("chars"))
 
 
 def digests(windows: DataFrame) -> DataFrame:
@@ -115,10 +115,10 @@ def digests(windows: DataFrame) -> DataFrame:
     text = read_back(windows)
     joined = lambda column: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("win", column))), lambda x: x[column]), "")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    per = text.select("conv_id", "win", F.size("turns").cast("long").alias("n"), said.alias("said"), F.array_join("targets", "").alias("target"))
-    lengths = windows.groupBy("conv_id").agg(F.sum(F.length("text")).cast("long").alias("formatted_chars")).withColumnRenamed("conv_id", "l_conv")
-    out = per.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.sha2(joined("said").cast("binary"), 256).alias("turns_sha256"), F.sum(F.length("target")).cast("long").alias("loss_chars"), F.sha2(joined("target").cast("binary"), 256).alias("loss_sha256"))
-    return out.join(lengths, _same("conv_id", "l_conv")).drop("l_conv")
+    per = text.select("conv_id", "win", F.size("turns").cast("long").alias("n"), said.alias("said"), F.array_join("targets", "").alias("target"), "chars")
+    return per.groupBy("conv_id").agg(
+        F.sum("n").alias("n_turns"), F.sha2(joined("said").cast("binary"), 256).alias("turns_sha256"), F.sum(F.length("target")).cast("long").alias("loss_chars"), F.sha2(joined("target").cast("binary"), 256).alias("loss_sha256"), F.sum("chars").cast("long").alias("formatted_chars"),
+    )
 
 
 #: ``digests`` of all conversations and conversation -1 as SQL.
