@@ -40,3 +40,63 @@ def test_stages_keep_columns(spark):
             out = stage(spark, table, SF)
             assert out.columns == table.columns, name
             assert out.select(F.count("*")).first()[0] > 0
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def alike(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def slow_near_duplicates(texts):
+    """Places of the texts that stay: the first of each group of exact similarity 0.8."""
+    sets, label = [shingles(t) for t in texts], {}
+    for i in range(len(texts)):
+        if i not in label:
+            queue, label[i] = [i], i
+            while queue:
+                a = queue.pop()
+                for b in range(len(texts)):
+                    if b not in label and alike(sets[a], sets[b]):
+                        label[b] = i
+                        queue.append(b)
+    return sorted(set(label.values()))
+
+
+def graded_texts(seed=12, bases=60):
+    """Pairs on both sides of 0.8: tails of 205 words replaced, so that 5 * shared and 4 * all are close."""
+    rng = np.random.default_rng(seed)
+    words = [f"w{i}" for i in range(5000)]
+    texts = []
+    for i in range(bases):
+        n = int(rng.integers(8, 400))
+        base = list(rng.choice(words, n))
+        # a new tail of x words leaves n - 4 - x of n - 4 shingles: similarity (m - x) / (m + x)
+        exact = (n - 4) / 9
+        for x in {int(exact) + d for d in (-1, 0, 1, 2)}:
+            if 0 <= x < n:
+                texts.append(" ".join([*base[: n - x], *(f"t{i}_{x}_{k}" for k in range(x))]))
+        texts.append(" ".join(base))
+    return texts
+
+
+def test_near_duplicates_are_those_of_exact_similarity(spark):
+    texts = [*graded_texts(), "", "one two", "One  TWO", None, "one two three"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(r.doc_id for r in cp.near_duplicates(spark, docs, SF).collect())
+    assert kept == slow_near_duplicates(texts)
+
+
+def test_split_groups_lose_no_link(spark):
+    from voxelmill.llm import jaccard
+
+    texts = graded_texts(bases=12)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row long, text string")
+    rows = jaccard.similar_groups(docs, row="row", keep=("row",), block_shingles=100, bucket_limit=4).collect()
+    least = defaultdict(list)
+    for r in rows:
+        least[r.component].append(r.row)
+    assert sorted(map(min, least.values())) == slow_near_duplicates(texts)

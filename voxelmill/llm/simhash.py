@@ -27,22 +27,28 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint_bits(text: bytes, words: int, tables: int) -> list[int]:
-    """The fingerprint of a text as ``tables`` unsigned 64-bit numbers. The first is the contract's:
-    XXH64 with seed 42 of each shingle, a bit set if it is in over half of them. The others take
-    the same hashes times fixed odd numbers, folded, so each is a sketch of its own."""
+def shingle_hashes(text: bytes, words: int):
+    """XXH64 with seed 42 of each shingle of a text, in order; none without words."""
     import numpy as np
     import xxhash
 
     # bytes.lower() changes A-Z only, and bytes.split() splits at 0x20 and 0x09-0x0D only
     parts = text.lower().split()
     if not parts:
-        return [0] * tables
+        return np.zeros(0, "<u8")
     clean, n = b" ".join(parts), min(words, len(parts))
     lengths = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
     starts = np.concatenate([[0], np.cumsum(lengths)])
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(clean[s:e], 42) for s, e in zip(starts[: len(parts) - n + 1].tolist(), (starts[n:] - 1).tolist(), strict=True)], dtype="<u8")
+    return np.array([digest(clean[s:e], 42) for s, e in zip(starts[: len(parts) - n + 1].tolist(), (starts[n:] - 1).tolist(), strict=True)], dtype="<u8")
+
+
+def fold(hashes, tables: int) -> list[int]:
+    """The fingerprint of some shingles as ``tables`` unsigned 64-bit numbers. The first is the
+    contract's: a bit is set if it is in over half of the hashes. The others take the same hashes
+    times fixed odd numbers, folded, so each is a sketch of its own."""
+    import numpy as np
+
     out = []
     for t in range(tables):
         h = hashes if t == 0 else hashes * np.uint64((0x9E3779B97F4A7C15 * (2 * t + 1)) & MASK)
@@ -54,6 +60,11 @@ def fingerprint_bits(text: bytes, words: int, tables: int) -> list[int]:
     return out
 
 
+def fingerprint_bits(text: bytes, words: int, tables: int) -> list[int]:
+    """The fingerprint of a text; of one without words, zeros."""
+    return fold(shingle_hashes(text, words), tables)
+
+
 def fingerprints(docs: DataFrame, *, words: int = 4, tables: int = 1, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and f0 (f1, ...): the fingerprints as signed longs. Null text is empty."""
     kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
@@ -175,16 +186,20 @@ def run_links(prints, side, deleted, rule: Rule) -> list[tuple[int, int]]:
     return out
 
 
-def links(prints: DataFrame, *, radius: int = 4, tables: int = 1, total: int | None = None, bucket_limit: int = 16384) -> DataFrame:
+def links(prints: DataFrame, *, radius: int = 4, tables: int = 1, total: int | None = None, bucket_limit: int = 16384, keys: str | None = None) -> DataFrame:
     """Edges (u, v: long) among the rows of ``prints`` (node long, f0, ...; distinct fingerprints):
     a spanning forest, bucket by bucket, of all pairs whose f0 differ in at most ``radius`` bits
-    and all tables together in at most ``total``."""
+    and all tables together in at most ``total``. ``keys`` names an array of longs: then just the
+    rows that agree at one of its places meet, and not those by the segments of f0."""
     slots = signature_masks(radius)
     total = radius if total is None else total
     values = ["node", *(f"f{t}" for t in range(tables))]
-    masks = F.array(*(F.lit(signed(m)) for m, _ in slots))
-    indexed = prints.select(*values, F.explode(F.sequence(F.lit(0), F.lit(len(slots) - 1))).alias("slot"))
-    indexed = indexed.withColumn("key", F.col("f0").bitwiseAND(masks[F.col("slot")]))
+    if keys is None:
+        masks = F.array(*(F.lit(signed(m)) for m, _ in slots))
+        indexed = prints.select(*values, F.explode(F.sequence(F.lit(0), F.lit(len(slots) - 1))).alias("slot"))
+        indexed = indexed.withColumn("key", F.col("f0").bitwiseAND(masks[F.col("slot")]))
+    else:
+        indexed = prints.select(*values, F.posexplode(keys).alias("slot", "key"))
     counted = indexed.withColumn("size", F.count("*").over(Window.partitionBy("slot", "key"))).filter("size > 1")
     schema = "u long, v long"
 
@@ -203,7 +218,7 @@ def links(prints: DataFrame, *, radius: int = 4, tables: int = 1, total: int | N
                 starts = starts[:-1]
             n, sizes = int(starts[-1]), np.diff(starts)
             prints_ = np.stack([c[:n] for c in columns[5:]], axis=1).view(np.uint64)
-            deleted = dropped[slot[:n]]
+            deleted = dropped[slot[:n]] if keys is None else np.zeros(n, np.uint64)
             position, size = np.arange(n) - np.repeat(starts[:-1], sizes), np.repeat(sizes, sizes)
             found = short_links(prints_, side[:n], deleted, position, size, rule)
             out = _forest(n, found.tolist()) if len(found) else []
