@@ -343,6 +343,26 @@ def test_mixing_meets_its_margins(spark):
     assert abs(total / sum(r.tokens for r in table) - 0.2) < 0.01
 
 
+@pytest.mark.parametrize("targets", [{"source": {"big": 0.5, "small": 0.5}}, None])
+def test_mixing_with_repetition_attains_its_targets(spark, targets):
+    """Production parameters on a corpus of 90 and 10 %: expected and drawn shares."""
+    rng = np.random.default_rng(14)
+    rows = [(i, " ".join(["w"] * int(rng.integers(60, 200))), ["en", "de"][int(rng.random() < 0.2)], "small" if rng.random() < 0.1 else "big") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    own, kept = Counter(), Counter()
+    for _, text, lang, source in rows:
+        own[source] += len(text.split())
+        own[lang] += len(text.split())
+    for r in mixing.sample(docs, targets=targets, repeat=True).collect():
+        kept[r.source] += len(r.text.split())
+        kept[r.lang] += len(r.text.split())
+    before, total = own["big"] + own["small"], kept["big"] + kept["small"]
+    tempered = lambda a, b: own[a] ** 0.8 / (own[a] ** 0.8 + own[b] ** 0.8)
+    assert abs(kept["small"] / total - (0.5 if targets else tempered("small", "big"))) < 0.02
+    assert abs(kept["de"] / total - tempered("de", "en")) < 0.02
+    assert abs(total / before - 0.8) < 0.02
+
+
 def test_mixing_of_odd_rows(spark, docs):
     rows = mixing.sample(docs).collect()
     assert {(r.doc_id, r.text) for r in rows} <= {(r.doc_id, r.text) for r in docs.collect()}

@@ -5,6 +5,10 @@ to the target shares of the three margins in turn, again and again; a cell's fac
 weight over its own. Factors times one scale, at most 1, are sampling probabilities; the scale is
 calibrated so that the expected tokens are the wanted share of all. A document stays if a draw
 from its id lies below its cell's probability.
+
+Clipped at 1, scarce cells give less than their targets: no more of them is there. With ``repeat``
+the factors are not clipped: a document of a cell whose rate is 2.3 stays twice, and a third time
+if its draw lies below 0.3, so the margins keep their targets at the same expected tokens.
 """
 
 from __future__ import annotations
@@ -37,12 +41,13 @@ def measured(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return out.withColumn("topic", topic_of(F.col("_text"), F.col("tokens"))).drop("_text")
 
 
-def rates(cells: DataFrame, *, temper: float = 0.8, targets: dict[str, dict[str, float]] | None = None, sweeps: int = 8, share: float = 0.8, scalings: int = 8) -> DataFrame:
+def rates(cells: DataFrame, *, temper: float = 0.8, targets: dict[str, dict[str, float]] | None = None, sweeps: int = 8, share: float = 0.8, scalings: int = 8, repeat: bool = False) -> DataFrame:
     """source, lang, topic, rate for each cell of ``cells`` (source, lang, topic, tokens).
 
     ``targets`` gives the share of each value of a margin; values that it doesn't name, and
     margins without targets, get their own share to the power ``temper``. Shares are scaled to
-    sum to one. ``share`` (below 1) of the tokens is to stay. All cells are raked in one task: there are as many as combinations of source,
+    sum to one. ``share`` (below 1) of the tokens is to stay. Rates are at most 1, at the cost of the
+    targets of scarce values, unless ``repeat`` lets documents stay more than once. All cells are raked in one task: there are as many as combinations of source,
     language and topic, however many documents. Cells without tokens have rate 1.
     """
     everything = Window.partitionBy()
@@ -59,10 +64,11 @@ def rates(cells: DataFrame, *, temper: float = 0.8, targets: dict[str, dict[str,
             now = F.sum(F.col("tokens") * F.col("factor")).over(Window.partitionBy(m)) / F.greatest("all", F.lit(1.0))
             out = out.withColumn("_now", now).withColumn("factor", F.when(F.col("_now") > 0, F.col("factor") * F.col(f"aim_{m}") / F.col("_now")).otherwise(F.col("factor")))
     out = out.withColumn("scale", F.lit(1.0))
-    for _ in range(scalings):
-        out = out.withColumn("_now", F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("scale") * F.col("factor"))).over(everything) / F.greatest("all", F.lit(1.0)))
+    clipped = (lambda rate: rate) if repeat else (lambda rate: F.least(F.lit(1.0), rate))
+    for _ in range(1 if repeat else scalings):
+        out = out.withColumn("_now", F.sum(F.col("tokens") * clipped(F.col("scale") * F.col("factor"))).over(everything) / F.greatest("all", F.lit(1.0)))
         out = out.withColumn("scale", F.when(F.col("_now") > 0, F.col("scale") * share / F.col("_now")).otherwise(F.col("scale")))
-    rate = F.least(F.lit(1.0), F.col("scale") * F.col("factor"))
+    rate = clipped(F.col("scale") * F.col("factor"))
     return out.select(*MARGINS, F.when(F.col("tokens") > 0, rate).otherwise(1.0).alias("rate"))
 
 
@@ -72,6 +78,13 @@ def draw(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
+def _drawn(docs: DataFrame, doc_id: str, seed: str) -> DataFrame:
+    """The rows of ``docs`` (with a rate) that stay, each as often as it does."""
+    whole = F.floor("rate")
+    times = whole + (draw(F.col(doc_id), seed) < F.col("rate") - whole).cast("long")
+    return docs.withColumn("_times", times).filter("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).drop("_times", "_time")
+
+
 def _join_rates(docs: DataFrame, table: DataFrame) -> DataFrame:
     named = table.select(*(F.col(c).alias(f"_{c}") for c in MARGINS), "rate")
     on = [F.col(c) == F.col(f"_{c}") for c in MARGINS]
@@ -88,7 +101,7 @@ def mix(docs: DataFrame, *, seed: str = "mix", **options) -> DataFrame:
     rows = settle(measured(docs), "mixing")
     cells = settle(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
     table = settle(rates(cells, **options), "rates")
-    return _join_rates(rows, table).filter(draw(F.col("doc_id"), seed) < F.col("rate")).select("doc_id", *MARGINS, "tokens", "rate")
+    return _drawn(_join_rates(rows, table), "doc_id", seed).select("doc_id", *MARGINS, "tokens", "rate")
 
 
 def sample(docs: DataFrame, *, seed: str = "mix", **options) -> DataFrame:
@@ -97,7 +110,7 @@ def sample(docs: DataFrame, *, seed: str = "mix", **options) -> DataFrame:
     table = settle(rates(cells, **options), "rates")
     text = text_or_empty()
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), *(F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c) for c in MARGINS[:2]), topic_of(text, word_count(text)).alias("topic"))
-    return _join_rates(packed, table).filter(draw(F.col("_id"), seed) < F.col("rate")).select("_row.*")
+    return _drawn(_join_rates(packed, table), "_id", seed).select("_row.*")
 
 
 def oracle(temper: float = 0.8, sweeps: int = 8, seed: str = "mix", share: float = 0.8, scalings: int = 8) -> str:
