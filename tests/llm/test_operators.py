@@ -459,6 +459,21 @@ def test_approximate_neighbours_recall_and_order(spark):
     assert ann.nearest(few, few).count() == 6
 
 
+def test_outliers_find_all_their_neighbours(spark):
+    """Tight clusters make the learned radius tiny; outliers have nothing in it."""
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(40, 64))
+    x = np.concatenate([np.repeat(centres, 50, axis=0) + 1e-4 * rng.normal(size=(2000, 64)), 3 * rng.normal(size=(20, 64))]).astype(np.float32)
+    table = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    got = defaultdict(list)
+    for r in ann.nearest(table, table.filter("vec_id >= 2000"), least_shards=4).collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    assert all(len(got[i]) == 10 for i in range(2000, 2020))
+    y = x.astype(np.float64)
+    exact = sum([j for _, j in sorted(got[i])] == [j for j in np.argsort(((y - y[i]) ** 2).sum(axis=1), kind="stable") if j != i][:10] for i in range(2000, 2020))
+    assert exact >= 18
+
+
 def test_probing_retrieves_every_code_in_the_radius():
     rng = np.random.default_rng(6)
     codes = rng.integers(0, 2**63, 2000).astype("<u8")

@@ -5,7 +5,8 @@ signs of a rotated vector are its 64-bit code. Codes are split into eight substr
 an index of its own. Two codes within Hamming radius r agree in some substring up to r // 8 bits,
 so probing all substring values that near retrieves every code within r; these are reranked by
 their exact distance. The radius is learned too: the least that holds the wanted share of the
-sample's true neighbours.
+sample's true neighbours. Queries that find fewer than k rows in it, as outliers do, are searched
+exactly over all rows.
 
 Every vector is indexed. The index is dealt into shards by a hash of the id, each with all eight
 tables of its vectors, and queries go to the shards in blocks; neither a frequent code nor a
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelmill.llm._shared import settle
 from voxelmill.llm.vectors import bounded_sample, matrix, one_query_each, ranked, shard_of, usable
 
 BITS, SUBSTRINGS = 64, 8
@@ -121,9 +123,8 @@ def nearest(embeddings: DataFrame, queries: DataFrame, *, k: int = 10, recall: f
     blocks = max(-(-n_asked // query_block), 1)
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     data = rows.select("vec_id", "x", shard_of(shards).alias("shard"), every(blocks).alias("block"))
-    asks = asked.select("vec_id", "x", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"))
 
-    def search(key, asks, data):
+    def search(asks, data, exact):
         import numpy as np
         import pyarrow as pa
 
@@ -131,9 +132,9 @@ def nearest(embeddings: DataFrame, queries: DataFrame, *, k: int = 10, recall: f
         if asks.num_rows and data.num_rows:
             q, x = matrix(asks), matrix(data)
             names, known = asks.column("vec_id").to_numpy(), data.column("vec_id").to_numpy()
-            index = MultiIndex(rotation.codes(x), rotation.radius)
+            index = None if exact else MultiIndex(rotation.codes(x), rotation.radius)
             for name, vector, code in zip(names, q, rotation.codes(q), strict=True):
-                at = index.within(code)
+                at = np.arange(len(x)) if exact else index.within(code)
                 at = at[known[at] != name]
                 far = np.sqrt(((x[at] - vector) ** 2).sum(axis=1))
                 if len(far) > k:
@@ -145,5 +146,13 @@ def nearest(embeddings: DataFrame, queries: DataFrame, *, k: int = 10, recall: f
         columns = [np.concatenate(c) if c else np.zeros(0) for c in out]
         return pa.table({"query_id": pa.array(columns[0].astype(np.int64)), "vec_id": pa.array(columns[1].astype(np.int64)), "score": pa.array(columns[2].astype(np.float64))})
 
-    found = asks.groupBy("block", "shard").cogroup(data.groupBy("block", "shard")).applyInArrow(search, schema)
+    def searched(asked: DataFrame, exact: bool) -> DataFrame:
+        asks = asked.select("vec_id", "x", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), every(shards).alias("shard"))
+        return asks.groupBy("block", "shard").cogroup(data.groupBy("block", "shard")).applyInArrow(lambda key, asks, data: search(asks, data, exact), schema)
+
+    found = settle(searched(asked, False), "neighbours")
+    full = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id")
+    short = settle(asked.join(full, F.col("vec_id") == F.col("query_id"), "left_anti"), "short_queries")
+    if not short.isEmpty():
+        found = found.join(full, "query_id", "left_semi").unionByName(searched(short, True))
     return ranked(found, k, F.col("score"))
