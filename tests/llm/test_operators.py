@@ -60,6 +60,39 @@ def test_cached_ids_are_the_tokenizers(text):
     assert np.frombuffer(cached.encode(text), "<u4").tolist() == cached.whole.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_tokenizer_file_is_honoured(spark, docs, name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    whole = Tokenizer.from_file(path)
+    ids = {r.doc_id: whole.encode(r.text or "", add_special_tokens=False).ids for r in docs.collect()}
+    pieces = packing.pack_documents(docs, tokenizer=path, group_tokens=20_000).select("doc_id", "start", "length", F.crc32("ids").alias("crc")).collect()
+    assert pieces and all(r.crc == crc([*ids[r.doc_id], 2][r.start : r.start + r.length]) for r in pieces)
+    files = shared_path(spark, "test-tokens")
+    tokens.write_token_files(docs, files, tokenizer=path)
+    read = tokens.read_token_files(spark, files).select("doc_id", F.crc32("ids").alias("crc")).collect()
+    assert len(read) == docs.count() and all(r.crc == crc([*ids[r.doc_id], 1]) for r in read)
+
+
+def test_long_chunks_are_not_remembered():
+    cached = word_ids(default_tokenizer())
+    for text in ("y" * 40_000, "https://a.example/" + "b7" * 9000, "日" * 9000):
+        assert np.frombuffer(cached.encode(text), "<u4").tolist() == cached.whole.encode(text, add_special_tokens=False).ids
+    assert max(map(len, cached)) <= cached.longest and max(map(len, cached.pieces)) <= cached.longest
+
+
+def test_durable_tables_need_a_shared_folder(spark):
+    class Cluster:
+        conf = {"spark.master": "spark://host:7077"}
+
+    with pytest.raises(RuntimeError):
+        shared_path(Cluster, "x")
+    Cluster.conf["spark.checkpoint.dir"] = "/shared/"
+    assert shared_path(Cluster, "x").startswith("/shared/x-")
+
+
 @pytest.mark.parametrize("ids", [[], [0], [255, 256, 65535, 65536, 2**32 - 1], list(range(0, 200_000, 37))])
 def test_any_code_is_addressed(ids):
     block = tokens.encode_block(ids)
@@ -474,11 +507,33 @@ def test_outliers_find_all_their_neighbours(spark):
     assert exact >= 18
 
 
+def test_recall_on_clusters_of_unlike_density(spark):
+    """Dense and wide clusters, pairs of outliers and lone ones: each query gets k rows, and most
+    of them are the nearest."""
+    rng = np.random.default_rng(22)
+    parts = [rng.normal(size=32) * 2 + spread * rng.normal(size=(120, 32)) for spread in (1e-3, 0.01, 0.05, 0.2, 0.5, 1.0) for _ in range(4)]
+    lone = 6 * rng.normal(size=(12, 32))
+    x = np.concatenate([*parts, lone, lone[:6] + 0.01]).astype(np.float32)
+    x = x[rng.permutation(len(x))]
+    table = vectors(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    got = defaultdict(set)
+    for r in ann.nearest(table, table.filter("vec_id % 5 = 0"), least_shards=4).collect():
+        got[r.query_id].add(r.vec_id)
+    y, hits, worst = x.astype(np.float64), 0, 1.0
+    for i in range(0, len(x), 5):
+        far = ((y - y[i]) ** 2).sum(axis=1)
+        far[i] = np.inf
+        best = len(got[i] & set(np.argsort(far, kind="stable")[:10].tolist()))
+        assert len(got[i]) == 10
+        hits, worst = hits + best, min(worst, best / 10)
+    assert hits / (10 * len(range(0, len(x), 5))) >= 0.9 and worst >= 0.3
+
+
 def test_probing_retrieves_every_code_in_the_radius():
     rng = np.random.default_rng(6)
     codes = rng.integers(0, 2**63, 2000).astype("<u8")
     codes[:500] = codes[0] ^ (np.uint64(1) << rng.integers(0, 60, 500).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 60, 500).astype(np.uint64))
-    for radius in (0, 3, 7, 8, 19, 28):
-        index = ann.MultiIndex(codes, radius)
+    for radius in (0, 3, 7, 8, 19, 28, 64):
+        index = ann.MultiIndex(codes)
         for code in codes[:20]:
-            assert index.within(code).tolist() == np.flatnonzero(np.bitwise_count(codes ^ code) <= radius).tolist()
+            assert index.within(code, radius).tolist() == np.flatnonzero(np.bitwise_count(codes ^ code) <= radius).tolist()
