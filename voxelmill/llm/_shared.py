@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import uuid
@@ -14,8 +15,13 @@ LOCAL_SHARED = "/tmp/checkpoints/voxelmill"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    """A new path in the folder that the cluster shares. Only a session of one process may leave
+    ``spark.checkpoint.dir`` unset: elsewhere each executor would write to its own disk."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL_SHARED
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -65,27 +71,47 @@ def process_cache() -> dict:
     return sys.modules[name].items_
 
 
+class WholeIds:
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, by the tokenizers library."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a whole text, four bytes each."""
+        import numpy as np
+
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 class WordIds(dict):
-    """Maps a chunk of text between blanks to its ids as little-endian unsigned 32-bit bytes.
+    """The same ids for files that ``splits_at_blanks`` admits, by way of remembered chunks of text
+    between blanks.
 
-    The tokenizer drops white space and never joins text across it, so the ids of a text are
+    Such a tokenizer drops white space and never joins text across it, so the ids of a text are
     those of its chunks in a row. A chunk of plain characters is split by the tokenizer's own
     pattern and its pieces go to the tokenizer's model; any other goes through the whole
-    tokenizer. At most ``limit`` chunks and ``limit`` pieces are remembered.
+    tokenizer. At most ``limit`` chunks and ``limit`` pieces are remembered, none over ``longest``
+    characters, so memory is bounded in bytes too.
     """
 
-    #: Fixed values of the vocabulary file: its pre-tokenizer's pattern, and the byte alphabet
-    #: of byte-level models (printable bytes stand for themselves, the rest from 256 up).
-    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+    #: Fixed values of such files: the normalizers, the pre-tokenizer's pattern, the end of a word,
+    #: and the byte alphabet of byte-level models (printable bytes stand for themselves, the rest
+    #: from 256 up).
+    NORMALIZERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"})
+    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    WORD_END = "</w>"
     PRINTABLE = (*range(33, 127), *range(161, 173), *range(174, 256))
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 300_000, longest: int = 64):
         import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
-        self.limit = limit
+        self.limit, self.longest = limit, longest
         self.pieces: dict[str, bytes] = {}
         self.split = regex.compile(self.PIECES).findall
         self.plain = regex.compile(r"[!-~¡-ɏ]+").fullmatch
@@ -94,13 +120,28 @@ class WordIds(dict):
         self.bytes_to_chars = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
         self[""] = b""
 
+    @classmethod
+    def splits_at_blanks(cls, path: str) -> bool:
+        """Whether the file declares just the steps that this class relies on."""
+        import json
+
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        normal, cut, model = (said.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+        steps = cut.get("pretokenizers") or [{}, {}]
+        pieces = {"type": "Split", "pattern": {"Regex": cls.PIECES}, "behavior": "Removed", "invert": True}
+        byte_level = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and steps[1].get("use_regex") is False
+        plain_model = model.get("type") == "BPE" and model.get("end_of_word_suffix") == cls.WORD_END and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        marks = all(t["content"].startswith("<|") and not any(map(str.isspace, t["content"])) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in said.get("added_tokens") or [])
+        return tuple(normal.get("normalizers") or ()) == cls.NORMALIZERS and steps[0] == pieces and byte_level and plain_model and marks and not (said.get("truncation") or said.get("padding") or said.get("post_processor"))
+
     def of_ids(self, ids) -> bytes:
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
     def piece(self, piece: str) -> bytes:
         spelled = piece.encode().decode("latin1").translate(self.bytes_to_chars)
         ids = self.of_ids(token.id for token in self.model.tokenize(spelled))
-        if len(self.pieces) < self.limit:
+        if len(self.pieces) < self.limit and len(piece) <= self.longest:
             self.pieces[piece] = ids
         return ids
 
@@ -110,7 +151,7 @@ class WordIds(dict):
             ids = b"".join([known(p) or self.piece(p) for p in self.split(chunk.lower())])
         else:
             ids = self.of_ids(self.whole.encode(chunk, add_special_tokens=False).ids)
-        if len(self) < self.limit:
+        if len(self) < self.limit and len(chunk) <= self.longest:
             self[chunk] = ids
         return ids
 
@@ -119,11 +160,11 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
-def word_ids(path: str) -> WordIds:
-    """The cached tokenizer of this process."""
+def word_ids(path: str) -> WordIds | WholeIds:
+    """The tokenizer of a file, one in each process; any file of the tokenizers library will do."""
     cache = process_cache()
     if path not in cache:
-        cache[path] = WordIds(path)
+        cache[path] = WordIds(path) if WordIds.splits_at_blanks(path) else WholeIds(path)
     return cache[path]
 
 
