@@ -473,6 +473,28 @@ def test_top_k_is_exact(spark):
     assert got == expected
 
 
+def test_scores_of_great_components_are_exact(spark):
+    """Components at the bounds of doubles' and longs' exact products; one that fits no long fails."""
+    rng = np.random.default_rng(31)
+    rows = [(i, (rng.normal(size=8) * 10.0 ** (i % 7)).tolist()) for i in range(200)]
+    rows += [(200, [5e6] + [0.0] * 7), (201, [float(1 << 22), -float(1 << 22)] * 4), (202, [2.0**28] + [0.0] * 7), (203, [0.0] * 7 + [2.0**27])]
+    table = vectors(spark, rows)
+    got = defaultdict(list)
+    for r in topk.top_k(table, table.filter("vec_id % 20 = 0"), query_rows=4, shard_rows=64, cells=6).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    whole = [(i, [int(np.floor(64 * float(np.float32(v)))) for v in e]) for i, e in rows]
+    for i, q in whole:
+        if i % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in whole if j != i)[:20]
+            assert sorted(got[i]) == [(n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    beyond = vectors(spark, [(0, [1e12] * 8), (1, [1e12] * 8)])
+    with pytest.raises(Exception, match="fit a long"):
+        topk.top_k(beyond, beyond).collect()
+    q, x = rng.integers(-(1 << 20), 1 << 20, (3, 5)).astype(float), rng.integers(-(1 << 33), 1 << 33, (4, 5)).astype(float)
+    x[2] = 1e25
+    assert topk.inner_products(q, x).tolist() == [[sum(int(a) * int(b) for a, b in zip(u, v, strict=True)) for v in x] for u in q]
+
+
 def test_approximate_neighbours_recall_and_order(spark):
     rows = odd_vectors(3000)
     table = vectors(spark, rows)

@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 
 from voxelmill.llm.vectors import bounded_sample, matrix, one_query_each, ranked, shard_of, usable
 
-#: Greater components would let scores pass the range of a long.
-GREATEST = 1 << 28
+#: Doubles from here on hold integers only, so their floor is themselves.
+ALL_WHOLE = float(1 << 52)
 
 
 def integers(embeddings: DataFrame, scale: int) -> DataFrame:
-    """vec_id and x: floor(scale * component) as doubles that hold integers."""
-    rows = usable(embeddings, zero=True).select("vec_id", F.transform("x", lambda v: F.floor(F.least(F.greatest(v * scale, F.lit(-2.0 * GREATEST)), F.lit(2.0 * GREATEST))).cast("double")).alias("x"))
-    return rows.filter(F.forall("x", lambda v: F.abs(v) < GREATEST))
+    """vec_id and x: floor(scale * component) as doubles that hold integers, however great."""
+    whole = lambda v: F.when(F.abs(v) < ALL_WHOLE, F.floor(F.when(F.abs(v) < ALL_WHOLE, v)).cast("double")).otherwise(v)
+    return usable(embeddings, zero=True).select("vec_id", F.transform("x", lambda v: whole(v * scale)).alias("x"))
 
 
 def pivots_of(x, n: int, rounds: int = 5):
@@ -63,32 +63,55 @@ def with_cells(rows: DataFrame, pivots) -> DataFrame:
 
 
 def inner_products(q, x):
-    """Exact integer scores: doubles hold them below 2^53, longs below 2^63."""
+    """Exact integer scores, one row for each row of ``q``. A row whose greatest component is below
+    ``sqrt(2^53 / d)`` needs doubles only, one below ``sqrt(2^62 / d)`` longs; the rows beyond, if
+    there are any, are computed in Python's integers, and the scores are then Python's integers."""
     import numpy as np
 
-    most = max(np.abs(q).max(initial=0), 1) * max(np.abs(x).max(initial=0), 1) * q.shape[1]
-    return q @ x.T if most < 2**53 else q.astype(np.int64) @ x.astype(np.int64).T
+    of = lambda m: np.abs(m).max(axis=1, initial=0.0)
+    most_q, most_x, d = of(q), of(x), q.shape[1]
+    easy, wide = (2**53 / d) ** 0.5, (2**62 / d) ** 0.5
+    if max(most_q.max(initial=0.0), most_x.max(initial=0.0)) < easy:
+        return (q @ x.T).astype(np.int64)
+    great_q, great_x = np.flatnonzero(most_q >= wide), np.flatnonzero(most_x >= wide)
+    longs = lambda m, great: np.where(np.isin(np.arange(len(m)), great)[:, None], 0.0, m).astype(np.int64)
+    out = longs(q, great_q) @ longs(x, great_x).T
+    if len(great_q) or len(great_x):
+        out = out.astype(object)
+        exact = lambda m: [[int(v) for v in row] for row in m.tolist()]
+        dot = lambda a, b: sum(v * w for v, w in zip(a, b, strict=True))
+        for i, a in zip(great_q.tolist(), exact(q[great_q]), strict=True):
+            out[i] = [dot(a, b) for b in exact(x)]
+        for j, b in zip(great_x.tolist(), exact(x[great_x]), strict=True):
+            out[:, j] = [dot(a, b) for a in exact(q)]
+    return out
 
 
 def best_of(scores, names, k: int):
     """Places of the ``k`` best scores, ties to the smaller name."""
     import numpy as np
 
+    if scores.dtype == object:
+        return np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], names[i]))[:k], dtype=np.int64)
     at = np.arange(len(scores))
     if len(scores) > k:
         at = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
     return at[np.lexsort((names[at], -scores[at]))[:k]]
 
 
-def top_k(embeddings: DataFrame, queries: DataFrame, *, k: int = 20, scale: int = 64, cells: int = 64, sample_rows: int = 8192, query_rows: int = 1024, shard_rows: int = 8192) -> DataFrame:
+def top_k(embeddings: DataFrame, queries: DataFrame, *, k: int = 20, scale: int = 64, cells: int = 64, sample_rows: int = 8192, query_rows: int = 8192, shard_rows: int = 32768, least_shards: int = 12) -> DataFrame:
     """query_id, rank (from 1), vec_id and score (long) of the ``k`` greatest inner products of
     each query with all vectors but those of its own vec_id, ties to the smaller vec_id.
 
     Components become ``floor(scale * component)``. Vectors that are null, of an unusual length,
-    or that hold null or non-finite components, or ones of 2^28 and more, take no part, nor do
-    rows without vec_id. Zero vectors take part. Rows that repeat are candidates each; of queries
-    that share a vec_id the one with the least vector counts. Without
-    usable vectors there is no row. Other columns are not read.
+    or that hold null or non-finite components take no part, nor do rows without vec_id. Finite
+    ones take part, however great; the job fails if a score among the ``k`` greatest of some shard
+    of the data doesn't fit a long. Zero vectors take part. Rows that repeat are candidates each;
+    of queries that share a vec_id the one with the least vector counts. Without usable vectors
+    there is no row. Other columns are not read.
+
+    A vector is copied once for each block of ``4 * query_rows`` queries whose bound it can reach, a
+    query once for each shard of ``shard_rows`` vectors.
     """
     import numpy as np
 
@@ -117,19 +140,21 @@ def top_k(embeddings: DataFrame, queries: DataFrame, *, k: int = 20, scale: int
     groups = asks.groupBy("cell").agg(F.max("far").alias("r"), F.max(norm).alias("m"), F.count("*").alias("n")).toArrow().to_pydict()
     pivot_norm = np.linalg.norm(pivots, axis=1)
     slack = 1 + 1e-9
+    centre_norm = np.linalg.norm(centres, axis=1)
     bound, reach = {}, {}
     ids, of_id = np.unique(np.array(least["vec_id"], dtype=np.int64), return_inverse=True)
     for g, r, m, _ in zip(*(groups[c] for c in ("cell", "r", "m", "n")), strict=True):
-        middle = pivots @ centres[g]
+        middle, rounding = pivots @ centres[g], 1e-9 * pivot_norm * centre_norm[g]
         cell, far = np.array(least["cell"], dtype=np.int64), np.array(least["far"])
-        low = middle[cell] - (r * pivot_norm[cell] + m * far) * slack
+        low = np.nan_to_num(middle[cell] - rounding[cell] - (r * pivot_norm[cell] + m * far) * slack, nan=-np.inf, posinf=-np.inf)
         # of an id that is in several cells, its best bound
         best = np.full(len(ids), -np.inf)
         np.maximum.at(best, of_id, low)
-        bound[g] = np.partition(best, len(best) - need)[len(best) - need] - 1e-6 * abs(low).max() if len(best) >= need else -np.inf
-        reach[g] = (middle + r * pivot_norm * slack, m * slack)
+        kth = np.partition(best, len(best) - need)[len(best) - need] if len(best) >= need else -np.inf
+        bound[g] = kth - 1e-9 * abs(kth) if np.isfinite(kth) else -np.inf
+        reach[g] = (middle + rounding + r * pivot_norm * slack, m * slack)
     blocks = {g: max(1, -(-c // (4 * query_rows))) for g, c in zip(groups["cell"], groups["n"], strict=True)}
-    shards = max(1, -(-n // shard_rows))
+    shards = max(-(-n // shard_rows), min(least_shards, -(-n // 1024)))
 
     def send(batches):
         import numpy as np
@@ -138,7 +163,7 @@ def top_k(embeddings: DataFrame, queries: DataFrame, *, k: int = 20, scale: int
         for b in batches:
             cell, far = b.column(2).to_numpy(), b.column(3).to_numpy()
             for g, (upper, m) in reach.items():
-                keep = np.flatnonzero(upper[cell] + m * far >= bound[g])
+                keep = np.flatnonzero(~(upper[cell] + m * far < bound[g]))  # what can't be compared stays
                 for block in range(blocks[g] if len(keep) else 0):
                     part = b.take(pa.array(keep))
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.full(len(keep), g, np.int32)), pa.array(np.full(len(keep), block, np.int32))], ["vec_id", "x", "g", "block"])
@@ -159,7 +184,10 @@ def top_k(embeddings: DataFrame, queries: DataFrame, *, k: int = 20, scale: int
                 for name, scores in zip(names[i : i + 256], inner_products(q[i : i + 256], x), strict=True):
                     other = np.flatnonzero(known != name)
                     at = other[best_of(scores[other], known[other], k)]
-                    for c, v in zip(out, (np.full(len(at), name), known[at], scores[at]), strict=True):
+                    got = scores[at]
+                    if got.dtype == object and any(not -(1 << 63) <= v < 1 << 63 for v in got):
+                        raise OverflowError(f"a score of query {name} doesn't fit a long")
+                    for c, v in zip(out, (np.full(len(at), name), known[at], got.astype(np.int64)), strict=True):
                         c.append(v)
         columns = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in out]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, columns), strict=True)))
