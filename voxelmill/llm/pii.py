@@ -3,39 +3,56 @@
 Candidates are the base spans and spans of looser patterns. Five labelers vote on each: its
 pattern, its validity, a gazetteer, the words before it and its edges. Expectation-maximisation
 over the counts of all vote patterns in the corpus estimates how reliable each labeler is and
-how likely each pattern is personal data; these soft labels train the final span classifier, a
-logistic regression. Base spans stay; other candidates become spans if it accepts them.
+how likely each pattern is personal data. These soft labels train the final span classifier, a
+logistic regression on features that the labelers don't see: form, neighbours and the word before
+a span. Base spans stay; other candidates become spans if it accepts them.
+
+All patterns take time in proportion to the text: the ones that could start anywhere in a run of
+letters or digits are matched outwards from a mark or from the start of a run.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxelmill.llm._shared import Taken, settle, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "email_spelled", "phone_local", "national_id", "person")
-#: The patterns of the four base kinds, then those of the looser ones.
-PATTERNS = (
-    re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    re.compile(r"[0-9]([\x20-]?[0-9])+"),
-    re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
-    re.compile(r"[A-Za-z0-9._-]+ ?[\[(]at[\])] ?[A-Za-z0-9-]+ ?[\[(]dot[\])] ?[A-Za-z]{2,}"),
-    re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"),
-    re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
-    re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame)\.? [A-ZÀ-Þ][a-zß-ÿ]+(?: [A-ZÀ-Þ][a-zß-ÿ]+)?"),
+#: The patterns of the base kinds. Of email, what may stand before and follow the
+#: sign; of ip, only starts of runs of digits need a look.
+BEFORE_AT, AFTER_AT = "".join(map(chr, (*range(48, 58), *range(65, 91), *range(97, 123)))) + "._%+-", re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: The looser ones.
+SPELLED_BEFORE, SPELLED = BEFORE_AT.replace("%+", ""), re.compile(r"[\[(]at[\])] ?[A-Za-z0-9-]+ ?[\[(]dot[\])] ?[A-Za-z]{2,}")
+PHONE_LOCAL = re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}")
+NATIONAL_ID = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
+PERSON = re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señor|Señora|Monsieur|Madame)\.? [A-ZÀ-Þ][a-zß-ÿ]+(?: [A-ZÀ-Þ][a-zß-ÿ]+)?")
+#: Gazetteers. Country domains have two letters and need no list; these are the generic ones.
+DOMAINS = frozenset("com org net edu gov mil int info biz name pro mobi asia jobs travel museum coop aero tel cat post app dev blog shop online site tech store cloud email example".split())
+#: Calling codes: of one and two digits, and the first two digits of those of three.
+CALLING = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+ZONES = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split())
+#: Common given names in English, German, French and Spanish.
+GIVEN = frozenset(
+    "james mary john patricia robert jennifer michael linda william elizabeth david barbara richard susan joseph jessica thomas sarah charles karen christopher lisa daniel nancy matthew betty anthony margaret mark sandra "
+    "donald ashley steven kimberly paul emily andrew donna joshua michelle kenneth carol kevin amanda brian melissa george deborah edward stephanie anna peter hans karl julia maria laura jürgen klaus wolfgang ursula "
+    "monika petra sabine gisela helga renate brigitte andreas stefan christian martin werner dieter frank uwe ralf heike ingrid claudia katrin anja jean marie pierre luis françois nathalie isabelle sylvie "
+    "catherine martine christine françoise valérie sandrine véronique philippe michel alain patrick nicolas christophe laurent sophie chantal jacques andré camille josé ana carmen antonio manuel francisco juan javier "
+    "miguel ángel carlos jesús alejandro pablo sergio fernando isabel dolores pilar teresa rosa cristina marta lucía elena raquel beatriz rocío diego jorge alberto álvaro adrián ramón rafael enrique".split()
 )
-#: Gazetteers: common top-level domains, country calling codes, given names.
-DOMAINS = frozenset("com org net edu gov io co de fr es uk us eu info biz".split())
-CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "39", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "81", "82", "86", "90", "91")
-GIVEN = frozenset("james mary john anna maria peter paul laura hans karl julia jean marie pierre luis carmen jose ana thomas sarah david".split())
 HINTS = re.compile(r"(?i)mail|contact|phone|call|tel|mobile|fax|card|visa|credit|addr|host|server|name|ssn|social|patient|write to")
 DOUBTS = re.compile(r"(?i)version|isbn|issn|order|invoice|figure|table|section|build|doi|patent")
 LABELERS = 5
-SCAN = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans array<struct<start:int,kind:int,end:int,pattern:int>>"
+#: Values of each feature of a span: kind, length, share of digits, separators, case, the characters
+#: on both sides, and a hash of the word before. Their product bounds what training gathers.
+SIZES = (len(KINDS), 4, 4, 5, 3, 4, 4, 16)
+LAST_WORD = re.compile(r"(\w+)\W*\Z")
+SCAN = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans array<struct<start:int,kind:int,end:int,pattern:int,features:int>>"
 
 
 def luhn(digits: str) -> bool:
@@ -53,7 +70,7 @@ def digits_of(text: str) -> str:
 def valid(kind: int, text: str) -> bool:
     """Whether a match of a base pattern is a base span."""
     if kind == 1:
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+        return all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in text.split("."))
     digits = digits_of(text) if kind else ""
     if kind == 2:
         return 12 <= len(digits) <= 19 and luhn(digits)
@@ -74,9 +91,10 @@ def votes(kind: int, text: str, start: int, end: int) -> int:
     else:
         sound = 1
     if kind in (0, 4):
-        listed = 2 if re.split(r"[^A-Za-z]+", span.rstrip(")]"))[-1].lower() in DOMAINS else 0
+        ending = re.split(r"[^A-Za-z]+", span[-64:].rstrip(")]"))[-1].lower()
+        listed = 2 if len(ending) == 2 or ending in DOMAINS else 0
     elif kind == 3:
-        listed = 2 if digits.startswith(CALLING) else 0
+        listed = 2 if digits[:1] in CALLING or digits[:2] in CALLING or digits[:2] in ZONES else 0
     elif kind == 7:
         listed = 2 if any(w.lower() in GIVEN for w in span.split()[1:]) else 1
     else:
@@ -88,17 +106,64 @@ def votes(kind: int, text: str, start: int, end: int) -> int:
     return (((pattern * 3 + sound) * 3 + listed) * 3 + context) * 3 + edges
 
 
+def features(kind: int, text: str, start: int, end: int) -> int:
+    """The features of a span as digits of the mixed base ``SIZES``."""
+    from zlib import crc32
+
+    span = text[start:end]
+    n, digits = len(span), sum("0" <= c <= "9" for c in span)
+    length = (n > 8) + (n > 12) + (n > 20)
+    share = 0 if digits == 0 else 1 + (2 * digits >= n) + (10 * digits >= 9 * n)
+    marks = [i for i, c in enumerate("-. ") if c in span]
+    separators = 0 if not marks else marks[0] + 1 if len(marks) == 1 else 4
+    case = 0 if not any(map(str.isalpha, span)) else 1 + any(map(str.isupper, span))
+    side = lambda c: 0 if c in ("", "\n") else 1 if c.isspace() else 2 if not c.isalnum() else 3
+    word = LAST_WORD.search(text[max(0, start - 40) : start])
+    out = 0
+    for size, value in zip(SIZES, (kind, length, share, separators, case, side(text[start - 1 : start] if start else ""), side(text[end : end + 1]), crc32(word.group(1).lower().encode()) % 15 + 1 if word else 0), strict=True):
+        out = out * size + value
+    return out
+
+
+def around(text: str, marks, before: str, blank: bool):
+    """(start, end) of leftmost, non-overlapping spans: a run of the characters ``before``, for
+    some after a blank, and a match of ``marks``."""
+    done = 0
+    for m in marks:
+        at = m.start()
+        head = text[done:at]
+        if blank and head.endswith(" "):
+            head = head[:-1]
+        run = len(head) - len(head.rstrip(before))
+        if run:
+            yield done + len(head) - run, m.end()
+            done = m.end()
+        else:
+            done = at + 1  # no run reaches across the mark
+
+
+def matches(kind: int, text: str):
+    """(start, end) of all matches of a kind's pattern."""
+    if kind == 0:
+        found = around(text, AFTER_AT.finditer(text), BEFORE_AT, False) if "@" in text else ()
+    elif kind == 4:
+        found = around(text, SPELLED.finditer(text), SPELLED_BEFORE, True) if "[at]" in text or "(at)" in text else ()
+    else:
+        found = (m.span() for m in {1: IP, 2: CARD, 3: PHONE, 5: PHONE_LOCAL, 6: NATIONAL_ID, 7: PERSON}[kind].finditer(text))
+    return found
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all candidates by start, then kind; looser ones don't touch base ones."""
     numbers = any(c in text for c in "0123456789")
     found = []
-    for kind, pattern in enumerate(PATTERNS):
-        if (kind == 0 and "@" not in text) or (kind == 3 and "+" not in text) or (kind in (1, 2, 5, 6) and not numbers) or (kind == 4 and "[at]" not in text and "(at)" not in text):
+    for kind in range(len(KINDS)):
+        if (kind == 3 and "+" not in text) or (kind in (1, 2, 5, 6) and not numbers):
             continue
         taken = Taken((s, e) for s, _, e in found) if kind > 3 else None
-        for m in pattern.finditer(text):
-            if not taken.touches(*m.span()) if taken else valid(kind, m.group()):
-                found.append((m.start(), kind, m.end()))
+        for start, end in matches(kind, text):
+            if not taken.touches(start, end) if taken else valid(kind, text[start:end]):
+                found.append((start, kind, end))
     return sorted(found)
 
 
@@ -108,7 +173,7 @@ def scan(docs: DataFrame) -> DataFrame:
     def kernel(batches):
         import pyarrow as pa
 
-        span = pa.struct([(n, pa.int32()) for n in ("start", "kind", "end", "pattern")])
+        span = pa.struct([(n, pa.int32()) for n in ("start", "kind", "end", "pattern", "features")])
         for rows in batches:
             counts, bases, spans = [], [], []
             for text in rows.column(1):
@@ -116,7 +181,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 found = candidates(text)
                 counts.append([sum(k == kind for _, k, _ in found) for kind in range(4)])
                 bases.append(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in found if k < 4))
-                spans.append([{"start": s, "kind": k, "end": e, "pattern": k * 3**LABELERS + votes(k, text, s, e)} for s, k, e in found])
+                spans.append([{"start": s, "kind": k, "end": e, "pattern": k * 3**LABELERS + votes(k, text, s, e), "features": features(k, text, s, e)} for s, k, e in found])
             yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(4)), pa.array(bases, pa.string()), pa.array(spans, pa.list_(span))], [c.split()[0] for c in SCAN.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(kernel, SCAN)
@@ -155,31 +220,50 @@ def fit_classifier(x, target, weights, rounds: int = 40, ridge: float = 1.0):
     return w
 
 
-def encoded(patterns):
-    """Kind and votes of patterns as numbers, and as indicator columns."""
+def votes_of(patterns):
+    """The votes of patterns, one column for each labeler."""
     import numpy as np
 
-    patterns = np.asarray(patterns, dtype=np.int64)
-    kinds, rest = np.divmod(patterns, 3**LABELERS)
-    cast = np.stack([rest // 3**j % 3 for j in reversed(range(LABELERS))], axis=1) if len(patterns) else np.zeros((0, LABELERS), np.int64)
-    shown = [np.eye(len(KINDS))[kinds], *(np.eye(3)[cast[:, j]] for j in range(LABELERS))]
-    return cast, np.hstack(shown)
+    rest = np.asarray(patterns, dtype=np.int64) % 3**LABELERS
+    return np.stack([rest // 3**j % 3 for j in reversed(range(LABELERS))], axis=1)
 
 
-def accepted_patterns(found: DataFrame, threshold: float) -> list[int]:
-    """Train on the counts of all patterns in the corpus; there are at most kinds x 3^labelers
-    (1,944), however many documents."""
+def learned_weights(found: DataFrame) -> list[list[float]]:
+    """The weight of each value of each feature, and an intercept in a list of its own; empty if
+    there are no candidates.
+
+    Two passes over all candidates. The first counts vote patterns (at most kinds x 3^labelers,
+    1,944); the second sums soft labels over feature codes (at most the product of ``SIZES``,
+    491,520 rows of three numbers): neither grows with the documents beyond that.
+    """
     import numpy as np
 
-    rows = found.select(F.explode("spans.pattern").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()
-    if not rows:
+    spans = found.select(F.explode("spans").alias("s")).select("s.pattern", "s.features")
+    rows = spans.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toArrow().to_pydict()
+    if not rows["n"]:
         return []
-    counts = np.array([r["n"] for r in rows], dtype=np.float64)
-    cast, x = encoded([r["pattern"] for r in rows])
-    posterior, _ = reliabilities(cast, counts)
-    w = fit_classifier(x, posterior, counts)
-    score = 1 / (1 + np.exp(-np.clip(np.hstack([x, np.ones((len(x), 1))]) @ w, -30, 30)))
-    return [r["pattern"] for r, s in zip(rows, score, strict=True) if s >= threshold]
+    posterior, _ = reliabilities(votes_of(rows["pattern"]), np.array(rows["n"], dtype=np.float64))
+    soft = found.sparkSession.createDataFrame([(p, float(q)) for p, q in zip(rows["pattern"], posterior, strict=True)], "p int, soft double")
+    labelled = spans.join(F.broadcast(soft), F.col("pattern") == F.col("p"))
+    rows = labelled.groupBy("features").agg(F.count("*").alias("n"), F.avg("soft").alias("soft")).orderBy("features").toArrow().to_pydict()
+    left, columns = np.array(rows["features"], dtype=np.int64), []
+    for size in reversed(SIZES):
+        left, value = np.divmod(left, size)
+        columns.append(np.eye(size)[value])
+    w = fit_classifier(np.hstack(columns[::-1]), np.array(rows["soft"]), np.array(rows["n"], dtype=np.float64))
+    ends = np.cumsum(SIZES)
+    return [*(part.tolist() for part in np.split(w[:-1], ends[:-1])), [float(w[-1])]]
+
+
+def accepted(features: Column, weights: list[list[float]], threshold: float) -> Column:
+    """Whether the classifier gives a span at least ``threshold``: a sum of looked-up weights."""
+    from math import inf, log
+
+    total, below = F.lit(weights[-1][0]), 1
+    for size, part in reversed(list(zip(SIZES, weights, strict=False))):
+        value = F.floor(features / below) % size
+        total, below = total + F.element_at(F.array(*map(F.lit, part)), (value + 1).cast("int")), below * size
+    return total >= (log(threshold / (1 - threshold)) if 0 < threshold < 1 else inf if threshold else -inf)
 
 
 def find_personal_data(docs: DataFrame, *, threshold: float = 0.5) -> DataFrame:
@@ -191,8 +275,7 @@ def find_personal_data(docs: DataFrame, *, threshold: float = 0.5) -> DataFrame:
     than doc_id and text are not read.
     """
     found = settle(scan(docs), "personal")
-    keep = F.array(*map(F.lit, accepted_patterns(found, threshold))).cast("array<int>")
-    names = F.array(*map(F.lit, KINDS))
-    chosen = F.filter("spans", lambda s: (s["kind"] < 4) | F.array_contains(keep, s["pattern"]))
+    weights, names = learned_weights(found), F.array(*map(F.lit, KINDS))
+    chosen = F.filter("spans", lambda s: (s["kind"] < 4) | accepted(s["features"], weights, threshold)) if weights else F.col("spans")
     shown = F.transform(chosen, lambda s: F.struct(s["start"].alias("start"), names[s["kind"]].alias("kind"), s["end"].alias("end")))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", shown.alias("spans"))
