@@ -42,6 +42,34 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a struct column ``name`` that no two rows share: the file of a row (a hash of
+    its path) and its place there, so a row has the same one however often it is read and whatever
+    executors are lost in between. What isn't read straight from files is settled first."""
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation" or not docs.inputFiles():
+        docs = settle(docs, "rows")
+    place = docs.metadataColumn("_metadata")
+    return docs.select("*", F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")).alias(name))
+
+
+#: Keys that more rows share than this, and than one row in HOT_SHARE, are joined apart from others.
+HOT_ROWS, HOT_SHARE = 10_000, 1000
+
+
+def join_counted(rows: DataFrame, key: str, table: DataFrame, named: str, count: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of ``rows`` and ``table`` on ``key = named``. ``table`` (settled: it is read three
+    times) has every key once, with the number of its rows in ``count``.
+
+    Keys of very many rows, of which there can be no more than ``HOT_SHARE``, are broadcast; the
+    rest is shuffled, and no key of it has more than one in ``HOT_SHARE`` of the rows, or
+    ``hot_rows``. So no task gets all the rows of a frequent key."""
+    total = table.agg(F.sum(count)).first()[0] or 0
+    limit = max(hot_rows, total // HOT_SHARE)
+    hot, same = table.filter(F.col(count) > limit), F.col(key) == F.col(named)
+    cold = rows.join(F.broadcast(hot.select(named)), same, "left_anti").join(table.filter(F.col(count) <= limit), same)
+    return rows.join(F.broadcast(hot), same).unionByName(cold)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,8 +8,8 @@ differs, so the many variants of an equal segment cost nothing.
 
 Equal fingerprints are one class from the start. Within a bucket only the edges of a spanning
 forest of its links leave the task, so neither copies nor dense groups give all their pairs.
-Buckets over ``bucket_limit`` are split into blocks, and every pair of blocks is compared in a
-task of its own: exact, however large the bucket.
+Buckets over ``bucket_limit`` are known before anything gathers them; they are split into blocks,
+and every pair of blocks is compared in a task of its own: exact, however large the bucket.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelmill.llm._shared import partitions, settle, text_or_empty
+from voxelmill.llm._shared import HOT_ROWS, join_counted, partitions, settle, text_or_empty
 from voxelmill.llm.components import components
 
 MASK = (1 << 64) - 1
@@ -186,6 +186,24 @@ def run_links(prints, side, deleted, rule: Rule) -> list[tuple[int, int]]:
     return out
 
 
+def large_buckets(prints: DataFrame, indexed: DataFrame, slots: list[tuple[int, int]] | None, limit: int) -> DataFrame:
+    """slot, key, size of buckets that may hold more than ``limit`` rows; size may be too great.
+
+    Buckets by segments need counts of the whole segments only, a small part of the index: a
+    bucket with a deleted bit holds two values of its segment, so it is large only if one of them
+    has over half the limit."""
+    if slots is None:
+        return indexed.groupBy("slot", "key").agg(F.count("*").alias("size")).filter(F.col("size") > limit)
+    masks = F.array(*(F.lit(signed(m)) for m, _ in slots))
+    whole = [i for i, (_, deleted) in enumerate(slots) if not deleted]
+    values = prints.select(F.explode(F.array(*map(F.lit, whole))).alias("slot"), "f0").select("slot", F.col("f0").bitwiseAND(masks[F.col("slot")]).alias("key"))
+    heavy = values.groupBy("slot", "key").agg(F.count("*").alias("size")).filter(F.col("size") > limit // 2)
+    last = F.array(*(F.lit(b - 1) for b in [*whole[1:], len(slots)]))[F.array_position(F.array(*map(F.lit, whole)), F.col("slot")).cast("int") - 1]
+    every = heavy.select(F.explode(F.sequence("slot", last)).alias("slot"), "key", "size", F.col("slot").alias("own"))
+    every = every.select("slot", F.col("key").bitwiseAND(masks[F.col("slot")]).alias("key"), F.when(F.col("slot") == F.col("own"), F.col("size")).otherwise(F.col("size") + limit // 2).alias("size"))
+    return every.groupBy("slot", "key").agg(F.sum("size").alias("size"))
+
+
 def links(prints: DataFrame, *, radius: int = 4, tables: int = 1, total: int | None = None, bucket_limit: int = 16384, keys: str | None = None) -> DataFrame:
     """Edges (u, v: long) among the rows of ``prints`` (node long, f0, ...; distinct fingerprints):
     a spanning forest, bucket by bucket, of all pairs whose f0 differ in at most ``radius`` bits
@@ -200,7 +218,8 @@ def links(prints: DataFrame, *, radius: int = 4, tables: int = 1, total: int | N
         indexed = indexed.withColumn("key", F.col("f0").bitwiseAND(masks[F.col("slot")]))
     else:
         indexed = prints.select(*values, F.posexplode(keys).alias("slot", "key"))
-    counted = indexed.withColumn("size", F.count("*").over(Window.partitionBy("slot", "key"))).filter("size > 1")
+    # few, if any: Spark broadcasts them if they are small by their size when it is known
+    crowded = settle(large_buckets(prints, indexed, slots if keys is None else None, bucket_limit), "large_buckets")
     schema = "u long, v long"
 
     def kernel(batches):
@@ -242,11 +261,14 @@ def links(prints: DataFrame, *, radius: int = 4, tables: int = 1, total: int | N
     def solved(rows: DataFrame) -> DataFrame:
         return rows.select("slot", "key", "pair", "side", *values).mapInArrow(kernel, schema)
 
-    small = counted.filter(F.col("size") <= bucket_limit).select("*", F.lit(0).alias("pair"), F.lit(0).alias("side"))
+    small = indexed.join(crowded.select("slot", "key"), ["slot", "key"], "left_anti")
+    small = small.withColumn("size", F.count("*").over(Window.partitionBy("slot", "key"))).filter("size > 1").select("*", F.lit(0).alias("pair"), F.lit(0).alias("side"))
     small = solved(small.sortWithinPartitions("slot", "key"))
+    if crowded.isEmpty():
+        return small
     # pair of blocks i <= j as i * blocks + j; a row of block b takes part in every pair with b
     blocks = F.ceil(F.col("size") * 2 / bucket_limit).cast("int")
-    large = counted.filter(F.col("size") > bucket_limit).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(*values), F.col("blocks")).cast("int"))
+    large = indexed.join(crowded, ["slot", "key"]).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64(*values), F.col("blocks")).cast("int"))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     large = large.withColumn("pair", F.least("own", "other") * F.col("blocks") + F.greatest("own", "other"))
     large = large.withColumn("side", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2))
@@ -254,28 +276,21 @@ def links(prints: DataFrame, *, radius: int = 4, tables: int = 1, total: int | N
     return small.union(solved(large))
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 4, radius: int = 4, tables: int = 1, total: int | None = None, keep: tuple[str, ...] = ("doc_id",), bucket_limit: int = 16384) -> DataFrame:
-    """``keep`` columns, f0 (f1, ...) and ``component``: a long that documents share if and only
-    if links connect them. One row per row of ``docs``.
+def duplicate_groups(docs: DataFrame, *, words: int = 4, radius: int = 4, bucket_limit: int = 16384, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id: the least doc_id of its component
+    (null only if all its doc_ids are null). One row per row of ``docs``.
 
     Null text is empty text, and texts without words share the fingerprint zero and are linked.
     Rows that repeat fall into one component. An empty table gives no row. Columns other than
-    text and ``keep`` are not read.
+    text and doc_id are not read.
     """
-    prints = [f"f{t}" for t in range(tables)]
-    marked = settle(fingerprints(docs, words=words, tables=tables, keep=keep), "fingerprints")
-    node = F.col("f0") if tables == 1 else F.xxhash64(*prints)
-    distinct = marked.select(*prints).distinct().select(node.alias("node"), *prints)
-    found = components(links(distinct, radius=radius, tables=tables, total=total, bucket_limit=bucket_limit))
-    own = marked.withColumn("_node", node)
-    out = own.join(found, F.col("_node") == F.col("node"), "left")
-    return out.select(*keep, *prints, F.coalesce("label", "_node").alias("component"))
-
-
-def duplicate_groups(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id: the least doc_id of its component
-    (null only if all its doc_ids are null)."""
-    marked = near_duplicates(docs, **options)
-    least = marked.groupBy("component").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("component", "_c")
+    marked = settle(fingerprints(docs, words=words), "fingerprints")
+    # rows that share a fingerprint become one before anything is compared or joined
+    per = settle(marked.groupBy(F.col("f0").alias("node")).agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "distinct_fingerprints")
+    found = components(links(per.select("node", F.col("node").alias("f0")), radius=radius, bucket_limit=bucket_limit))
+    labelled = per.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    labelled = settle(labelled.select("node", "n", "least", F.coalesce("label", "node").alias("component")), "labels")
+    groups = settle(labelled.groupBy(F.col("component").alias("group")).agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "groups")
+    named = settle(join_counted(labelled, "component", groups, "group", "members", hot_rows).select(F.col("node").alias("_print"), "n", "component_id"), "named")
     hexed = F.lower(F.lpad(F.hex("f0"), 16, "0"))
-    return marked.join(least, F.col("component") == F.col("_c")).select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return join_counted(marked, "f0", named, "_print", "n", hot_rows).select("doc_id", hexed.alias("fingerprint"), "component_id")
