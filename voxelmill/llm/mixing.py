@@ -82,7 +82,7 @@ def _drawn(docs: DataFrame, doc_id: str, seed: str) -> DataFrame:
     """The rows of ``docs`` (with a rate) that stay, each as often as it does."""
     whole = F.floor("rate")
     times = whole + (draw(F.col(doc_id), seed) < F.col("rate") - whole).cast("long")
-    return docs.withColumn("_times", times).filter("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).drop("_times", "_time")
+    return docs.withColumn("_times", times).filter("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).drop("_times")
 
 
 def _join_rates(docs: DataFrame, table: DataFrame) -> DataFrame:
@@ -92,7 +92,9 @@ def _join_rates(docs: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, *, seed: str = "mix", **options) -> DataFrame:
-    """The sampled documents: doc_id, source, lang, topic, tokens and the probability ``rate``.
+    """The sampled documents: doc_id, source, lang, topic, tokens, ``rate`` (the expected number of
+    times that a document stays: a probability, unless ``repeat`` lets it pass 1) and ``copy``
+    (from 1: which of its times a row is).
 
     Null text has no tokens; null sources and languages are the value ``(none)``; rows that
     repeat an id share its draw, null ids one draw; an empty table gives no row; columns other
@@ -101,7 +103,7 @@ def mix(docs: DataFrame, *, seed: str = "mix", **options) -> DataFrame:
     rows = settle(measured(docs), "mixing")
     cells = settle(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
     table = settle(rates(cells, **options), "rates")
-    return _drawn(_join_rates(rows, table), "doc_id", seed).select("doc_id", *MARGINS, "tokens", "rate")
+    return _drawn(_join_rates(rows, table), "doc_id", seed).select("doc_id", *MARGINS, "tokens", "rate", F.col("_time").alias("copy"))
 
 
 def sample(docs: DataFrame, *, seed: str = "mix", **options) -> DataFrame:
@@ -113,8 +115,10 @@ def sample(docs: DataFrame, *, seed: str = "mix", **options) -> DataFrame:
     return _drawn(_join_rates(packed, table), "_id", seed).select("_row.*")
 
 
-def oracle(temper: float = 0.8, sweeps: int = 8, seed: str = "mix", share: float = 0.8, scalings: int = 8) -> str:
+def oracle(temper: float = 0.8, sweeps: int = 8, seed: str = "mix", share: float = 0.8, scalings: int = 8, repeat: bool = False) -> str:
     """``mix`` as SQL over ``documents``."""
+    clipped = "{}" if repeat else "least(1.0, {})"
+    scalings = 1 if repeat else scalings
     steps = [
         "rows_ AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+'))::BIGINT AS tokens FROM documents)",
         "docs AS (SELECT doc_id, source, lang, tokens, CASE WHEN contains(t, ' | ') THEN 'table' WHEN tokens < 50 THEN 'short' WHEN tokens < 8 * (length(t) - length(replace(t, chr(10), '')) + 1) THEN 'listing' ELSE 'prose' END AS topic FROM rows_)",
@@ -130,7 +134,9 @@ def oracle(temper: float = 0.8, sweeps: int = 8, seed: str = "mix", share: float
             n += 1
     steps.append(f"k0 AS (SELECT source, lang, topic, tokens, factor, total, 1.0::DOUBLE AS scale FROM s{n})")
     for i in range(scalings):
-        now = "(sum(tokens * least(1.0, scale * factor)) OVER () / total)"
+        now = f"(sum(tokens * {clipped.format('scale * factor')}) OVER () / total)"
         steps.append(f"k{i + 1} AS (SELECT source, lang, topic, tokens, factor, total, CASE WHEN {now} > 0 THEN scale * {share} / {now} ELSE scale END AS scale FROM k{i})")
-    steps.append(f"r AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN least(1.0, scale * factor) ELSE 1.0 END AS rate FROM k{scalings})")
-    return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, source, lang, topic, tokens, round(rate, 6) AS rate FROM docs JOIN r USING (source, lang, topic) WHERE ('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0 < rate"
+    steps.append(f"r AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN {clipped.format('scale * factor')} ELSE 1.0 END AS rate FROM k{scalings})")
+    drawn = f"('0x' || substr(md5('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0"
+    steps.append(f"d AS (SELECT *, floor(rate)::BIGINT + CASE WHEN {drawn} < rate - floor(rate) THEN 1 ELSE 0 END AS copies FROM docs JOIN r USING (source, lang, topic))")
+    return "WITH " + ",\n".join(steps) + "\nSELECT doc_id, source, lang, topic, tokens, round(rate, 6) AS rate, unnest(range(1, copies + 1)) AS copy FROM d"

@@ -15,7 +15,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 6))
+    return mixing.mix(table(spark, sf_dir, "documents"), repeat=True).withColumn("rate", F.round("rate", 6))
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,9 @@ def shown(spans: str):
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+    # for each of the spans its owners, its repositories, and whether it looks live or like an example
+    owned = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["owners"].cast("string"), s["repositories"].cast("string"), F.when(s["live"], "live").otherwise("example"))), ",")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), shown("spans").alias("spans"), owned.alias("ownership"))
 
 
 def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +92,4 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_topk": op10_topk,
 }
-ORACLES = {"op2_mixing": mixing.oracle(), "op3_chat": chat.ORACLE, "op10_topk": TOPK_SQL}
+ORACLES = {"op2_mixing": mixing.oracle(repeat=True), "op3_chat": chat.ORACLE, "op10_topk": TOPK_SQL}
