@@ -233,6 +233,23 @@ def test_links_lose_none_in_dense_groups(spark, limit):
         assert {got.get(m, m) for m in members} == {min(members)}
 
 
+def test_frequent_keys_are_joined_whole(spark):
+    from voxelmill.llm._shared import join_counted
+
+    rng = np.random.default_rng(17)
+    keys = [int(x) for x in np.concatenate([np.full(300, 7), rng.integers(0, 50, 300), np.full(200, 8)])]
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i long, k long")
+    table = spark.createDataFrame([(k, n, f"v{k}") for k, n in Counter(keys).items()], "named long, n long, v string")
+    for hot in (1, 10, 250, 10_000):
+        assert sorted((r.i, r.v) for r in join_counted(rows, "k", table, "named", "n", hot).collect()) == [(i, f"v{k}") for i, k in enumerate(keys)]
+
+
+def test_groups_are_the_same_however_keys_are_split(spark):
+    texts = [*TEXTS, *["a b c d e f g h"] * 40, *[f"a b c d e f g h {i % 3}" for i in range(30)], *[None] * 20]
+    one, other = (sorted(map(tuple, simhash.duplicate_groups(documents(spark, texts), bucket_limit=limit, hot_rows=hot).collect())) for limit, hot in ((16384, 10_000), (4, 3)))
+    assert one == other
+
+
 def test_simhash_of_nulls_and_nothing(spark):
     rows = simhash.duplicate_groups(documents(spark, [None, "", "a b c d e", "a b c d e"], [None, 7, None, None])).collect()
     assert sorted((r.fingerprint == "0" * 16, r.component_id) for r in rows if r.component_id) == [(True, 7), (True, 7)]
@@ -304,6 +321,29 @@ def test_secrets_equal_brute_force(spark):
         assert rows[i].base == ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
+def test_ownership_equals_brute_force(spark):
+    rng = np.random.default_rng(23)
+    values = [f"{a}x9Q{b}Lm4{a}pR7{b}Zt2Kdw8V" for a in "bcdfg" for b in "HJKLM"]
+    common = 0.6 ** np.arange(len(values)) / (0.6 ** np.arange(len(values))).sum()
+    texts = [" and ".join(["password=" * int(rng.integers(2)) + str(v) for v in rng.choice(values, int(rng.integers(0, 4)), p=common)]) for _ in range(60)]
+    docs = documents(spark, texts)
+    held = defaultdict(set)
+    for r in docs.collect():
+        for v in re.findall("[A-Za-z0-9]{20,}", r.text):
+            held[v].add((r.source or "", "/".join(x for x in (r.source, r.lang) if x is not None)))
+    for hot in (10_000, 5):
+        for r in secrets.find_secrets(docs, hot_rows=hot).collect():
+            got = [(s.kind, texts[r.doc_id][s.value_start : s.value_end], s.owners, s.repositories, s.live) for s in r.spans]
+            expected = []
+            for m in re.finditer("(password=)?([A-Za-z0-9]{20,})", texts[r.doc_id]):
+                pairs = held[m.group(2)]
+                n = len({o for o, _ in pairs})
+                if m.group(1) or n < 3:
+                    expected.append(("assign" if m.group(1) else "opaque", m.group(2), n, len(pairs), n < 3))
+            assert got == expected
+    assert {len({o for o, _ in pairs}) for pairs in held.values()} >= {1, 2, 3}
+
+
 def test_ownership_tells_copied_examples_from_live_secrets(spark):
     live, example = "Zx9" + "qW7rT2yU5iO8pA1sD4f", "Ab1" + "cD2eF3gH4iJ5kL6mN7o"
     texts = [f"see {live} here", *[f"docs say {example} ok"] * 6]
@@ -448,7 +488,9 @@ def test_mixing_of_odd_rows(spark, docs):
     assert {(r.doc_id, r.text) for r in rows} <= {(r.doc_id, r.text) for r in docs.collect()}
     assert mixing.sample(docs).columns == docs.columns
     assert mixing.mix(docs.limit(0)).count() == 0
-    assert "(none)" in {r.source for r in mixing.mix(docs, share=0.99).collect()} | {"(none)"}
+    odd = mixing.mix(docs, share=0.99, repeat=True).collect()
+    assert "(none)" in {r.source for r in odd} and "(none)" in {r.lang for r in odd}
+    assert all(sorted(r.copy for r in odd if r.doc_id == i) == list(range(1, 1 + sum(r.doc_id == i for r in odd))) for i in (5, 6))
 
 
 TURNS = "conv_id long, turn long, role string, text string, win int, pos int, kind int"

@@ -1,10 +1,17 @@
 """The corpus pipeline: its stages in turn on planted cases, and whole."""
 
-from collections import defaultdict
+import hashlib
+import math
+import re
+from collections import Counter, defaultdict
 
 import corpus_pipeline as cp
 import numpy as np
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from voxelmill.llm import quality, secrets
+from voxelmill.llm._shared import default_tokenizer
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,7 +41,8 @@ def test_near_duplicates_keep_one_of_each_group(spark):
 
 def test_stages_keep_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    extra = {n: F.lit(1) for n in ("score", "_row", "_kept", "_digest", "_spans", "component", "label", "rate", "topic", "tokens", "f0", "row", "owner")}
+    extra = {n: F.lit(1) for n in ("score", "_row", "_kept", "_digest", "_spans", "component", "label", "rate", "topic", "tokens", "f0", "row", "owner", "_metadata", "key")}
+    extra["of_a_map"] = F.create_map(F.lit("a"), F.lit(1))
     for table in (docs, docs.withColumns(extra)):
         for name, stage in cp.STAGES[:-1]:
             out = stage(spark, table, SF)
@@ -42,6 +50,13 @@ def test_stages_keep_columns(spark):
             assert out.select(F.count("*")).first()[0] > 0
 
 
+def test_nothing_goes_through_all_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0
+
+
 def shingles(text):
     words = (text or "").lower().split()
     return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
@@ -95,8 +110,112 @@ def test_split_groups_lose_no_link(spark):
 
     texts = graded_texts(bases=12)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row long, text string")
-    rows = jaccard.similar_groups(docs, row="row", keep=("row",), block_shingles=100, bucket_limit=4).collect()
+    rows = jaccard.similar_groups(docs, row="row", block_shingles=100, bucket_limit=4, hot_rows=2).collect()
     least = defaultdict(list)
     for r in rows:
         least[r.component].append(r.row)
     assert sorted(map(min, least.values())) == slow_near_duplicates(texts)
+
+
+def slow_features(text):
+    """The twenty features, one after another."""
+    raw, words = text.encode(), text.split()
+    n, w = max(len(raw), 1), max(len(words), 1)
+    lines = [x for x in text.split("\n") if x.strip()]
+    some = lambda chars: sum(chr(c) in chars for c in raw)
+    upper, lower, digits = some("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), some("abcdefghijklmnopqrstuvwxyz"), some("0123456789")
+    plain, printable = some("!\"'(),-.:;?"), sum(33 <= c < 127 for c in raw)
+    per = len(lines) or 1
+    return [
+        math.log1p(len(text)), len(text) / w, (upper + lower) / n, upper / max(upper + lower, 1), digits / n, plain / n, (printable - upper - lower - digits - plain) / n, sum(c > 127 for c in raw) / n, some("\t\n\r ") / n, math.log1p(len(lines)),
+        w / per, 1 - len(set(lines)) / per, len(set(words)) / w, max(Counter(words).values(), default=0) / w, sum(a == b for a, b in zip(words, words[1:], strict=False)) / w, sum(not x[-1].isalnum() and x[-1] not in ".," for x in words) / w,
+        sum(x.isupper() for x in words) / w, sum(len(x) < 4 for x in words) / w, some("|") / w, some(".") / per,
+    ]
+
+
+def slow_score(model, text):
+    at = [sum(edge <= v for edge in edges) for v, edges in zip(slow_features(text), model.edges, strict=True)]
+    logit = model.intercept + sum(float(t[b]) for t, b in zip(model.tables, at, strict=True))
+    logit += sum(float(t[at[i]][at[j]]) for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
+    return 1 / (1 + math.exp(-logit))
+
+
+def test_scores_equal_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    rows = quality.score_documents(docs, model, keep=("doc_id", "text")).collect()
+    assert len(rows) == docs.count() and model.pairs
+    assert all(abs(r.score - slow_score(model, r.text or "")) < 1e-9 for r in rows)
+
+
+def slow_redaction(docs):
+    """Texts with the values masked that fewer than three sources hold."""
+    opaque = lambda v: any(map(str.isdigit, v)) and any(map(str.islower, v)) and any(map(str.isupper, v)) and sum(-c / len(v) * math.log2(c / len(v)) for c in Counter(v).values()) >= 3.5
+    spans, owners = [], defaultdict(set)
+    for d in docs:
+        text, found = d.text or "", []
+        for pattern, group, least in ((secrets.ASSIGN, 2, 6), (secrets.ACCESS, 0, 20), (re.compile("[0-9a-f]+"), 0, 24)):
+            found += [(m.span(), m.span(group)) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
+        base = [s for s, _ in found]
+        found += [(m.span(), m.span()) for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text) if opaque(m.group()) and not any(s < m.end() and m.start() < e for s, e in base)]
+        spans.append([v for _, v in found])
+        for s, e in spans[-1]:
+            owners[text[s:e]].add(d.source)
+    out = []
+    for d, values in zip(docs, spans, strict=True):
+        text, masked, at = d.text or "", "", 0
+        for s, e in sorted((s, e) for s, e in values if len(owners[text[s:e]]) < 3):
+            if s >= at:
+                masked += text[at:s] + "[SECRET]"
+            at = max(at, e)
+        out.append(masked + text[at:])
+    return out
+
+
+def slow_mix(docs, texts):
+    """Places of the documents that stay, as often as they do."""
+    words = [len(re.findall(r"[^ \t\n\x0b\f\r]+", t)) for t in texts]
+    topic = ["table" if " | " in t else "short" if w < 50 else "listing" if w < 8 * (t.count("\n") + 1) else "prose" for t, w in zip(texts, words, strict=True)]
+    keys = [(d.source or "(none)", d.lang or "(none)", t) for d, t in zip(docs, topic, strict=True)]
+    mass = Counter()
+    for key, w in zip(keys, words, strict=True):
+        mass[key] += w
+    total = sum(mass.values())
+    own = [Counter() for _ in range(3)]
+    for key, m in mass.items():
+        for margin in range(3):
+            own[margin][key[margin]] += m
+    aims = [{v: (m / total) ** 0.8 / sum((x / total) ** 0.8 for x in o.values()) for v, m in o.items()} for o in own]
+    factor = dict.fromkeys(mass, 1.0)
+    for margin in [0, 1, 2] * 8:
+        now = Counter()
+        for key, m in mass.items():
+            now[key[margin]] += m * factor[key] / total
+        for key in mass:
+            if now[key[margin]] > 0:
+                factor[key] *= aims[margin][key[margin]] / now[key[margin]]
+    scale = 0.8 * total / sum(m * factor[key] for key, m in mass.items())
+    kept = []
+    for i, (d, key) in enumerate(zip(docs, keys, strict=True)):
+        rate = scale * factor[key] if mass[key] else 1.0
+        draw = int(hashlib.md5(f"mix:{d.doc_id}".encode()).hexdigest()[:12], 16) / 2**48
+        kept += [i] * (int(rate) + (draw < rate - int(rate)))
+    return kept
+
+
+def test_pipeline_equals_brute_force(spark):
+    """All five stages in plain Python: the same documents as often, each with all of its ids."""
+    read = lambda n: spark.read.parquet(f"{SF}/{n}.parquet")
+    model = quality.train(read("documents"), read("labels"))
+    docs = sorted((d for d in read("documents").collect() if slow_score(model, d.text or "") >= 0.7), key=lambda d: d.doc_id)
+    docs = [docs[i] for i in slow_near_duplicates([d.text for d in docs])]
+    texts = slow_redaction(docs)
+    encode = Tokenizer.from_file(default_tokenizer()).encode
+    expected = Counter()
+    for i in slow_mix(docs, texts):
+        ids = [*encode(texts[i], add_special_tokens=False).ids, 2]
+        expected[docs[i].doc_id, len(ids)] += len(ids)
+    got = Counter()
+    for r in cp.run(spark, SF).collect():
+        got[r.doc_id, r.doc_tokens] += r.length
+    assert got == expected and len(got) > 50
