@@ -257,11 +257,12 @@ def test_simhash_of_nulls_and_nothing(spark):
     assert simhash.duplicate_groups(documents(spark).limit(0)).count() == 0
 
 
-def test_components_of_a_long_path_and_a_star(spark):
+@pytest.mark.parametrize("hub_rows", [1_000_000, 10])
+def test_components_of_a_long_path_and_a_star(spark, hub_rows):
     path = [(i, i + 1) for i in range(0, 60)]
     star = [(1000, i) for i in range(1001, 1100)]
     rows = spark.createDataFrame([*path, *star, (5, 5), (3, None)], "u long, v long")
-    got = {r.node: r.label for r in components(rows).collect()}
+    got = {r.node: r.label for r in components(rows, hub_rows=hub_rows).collect()}
     assert {got[i] for i in range(61)} == {0} and {got[i] for i in range(1000, 1100)} == {1000}
 
 

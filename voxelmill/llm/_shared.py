@@ -53,17 +53,18 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
 
 
 #: Keys that more rows share than this, and than one row in HOT_SHARE, are joined apart from others.
-HOT_ROWS, HOT_SHARE = 10_000, 1000
+HOT_ROWS, HOT_SHARE = 2000, 1000
 
 
-def join_counted(rows: DataFrame, key: str, table: DataFrame, named: str, count: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def join_counted(rows: DataFrame, key: str, table: DataFrame, named: str, count: str, hot_rows: int = HOT_ROWS, total: int | None = None) -> DataFrame:
     """Inner join of ``rows`` and ``table`` on ``key = named``. ``table`` (settled: it is read three
-    times) has every key once, with the number of its rows in ``count``.
+    times) has every key once, with the number of its rows in ``count``; they sum up to ``total``, or less.
 
     Keys of very many rows, of which there can be no more than ``HOT_SHARE``, are broadcast; the
     rest is shuffled, and no key of it has more than one in ``HOT_SHARE`` of the rows, or
     ``hot_rows``. So no task gets all the rows of a frequent key."""
-    total = table.agg(F.sum(count)).first()[0] or 0
+    if total is None:
+        total = table.agg(F.sum(count)).first()[0] or 0
     limit = max(hot_rows, total // HOT_SHARE)
     hot, same = table.filter(F.col(count) > limit), F.col(key) == F.col(named)
     cold = rows.join(F.broadcast(hot.select(named)), same, "left_anti").join(table.filter(F.col(count) <= limit), same)
