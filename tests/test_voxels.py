@@ -177,10 +177,10 @@ def test_supersampling_of_one_voxel(spark):
 def test_set_algebra(spark):
     a, b = mask(spark, [(0, 0, 0), (1, 0, 0), (1, 1, 0)]), mask(spark, [(1, 1, 0), (2, 1, 0), (2, 2, 0)])
     g = uniform_grid(4, 4, 3)
-    assert masks.union(a, b).count() == 5 and voxels(masks.intersection(a, b)) == {(1, 1, 0)}
-    assert voxels(masks.subtract(a, b)) == {(0, 0, 0), (1, 0, 0)} and masks.xor(a, b).count() == 4
+    assert masks.union(a, g, b, g).count() == 5 and voxels(masks.intersection(a, g, b, g)) == {(1, 1, 0)}
+    assert voxels(masks.subtract(a, g, b, g)) == {(0, 0, 0), (1, 0, 0)} and masks.xor(a, g, b, g).count() == 4
     assert voxels(masks.complement(masks.complement(a, g), g)) == voxels(a)
-    o = masks.overlap(a, b).first()
+    o = masks.overlap(a, g, b, g).first()
     assert (o.n_a, o.n_b, o.n_both, o.disagreement) == (3, 3, 1, 4) and o.dice == pytest.approx(1 / 3)
 
 

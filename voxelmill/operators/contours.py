@@ -100,14 +100,17 @@ def rasterize(placed: DataFrame, grid: Grid) -> DataFrame:
 
 def nesting(placed: DataFrame, grid: Grid) -> DataFrame:
     """mask_id, k, contour_no, inside: whether the first point of a contour lies in another one of
-    its mask and plane. Points meet only edges of their own mask and plane."""
+    its mask and plane. Points meet only edges that touch their row of pixels (what is off the grid
+    on one side is one row)."""
     shapes = placed.filter(fillable())
     x, y = grid.pixel(_xyz(F.get("points", F.lit(0))), F.col("k"))
     firsts = shapes.select("mask_id", "k", "contour_no", x.alias("px"), y.alias("py"))
-    other = edges(shapes, grid).withColumnRenamed("contour_no", "other_no")
+    row = lambda y: F.least(F.greatest(F.floor(y), F.lit(-1)), F.lit(grid.rows)).cast("int")
+    firsts = firsts.withColumn("row", row(F.col("py")))
+    other = edges(shapes, grid).withColumnRenamed("contour_no", "other_no").filter("y0 <> y1").withColumn("row", F.explode(F.sequence(row(F.least("y0", "y1")), row(F.greatest("y0", "y1")))))
     meets = (F.least("y0", "y1") <= F.col("py")) & (F.col("py") < F.greatest("y0", "y1"))
     right = F.col("px") < F.col("x0") + (F.col("py") - F.col("y0")) / (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))
-    met = firsts.join(other, ["mask_id", "k"]).filter((F.col("other_no") != F.col("contour_no")) & meets)
+    met = firsts.join(other, ["mask_id", "k", "row"]).filter((F.col("other_no") != F.col("contour_no")) & meets)
     parity = met.groupBy("mask_id", "k", "contour_no", "other_no").agg((F.count_if(right) % 2 == 1).alias("inside"))
     flags = parity.groupBy("mask_id", "k", "contour_no").agg(F.bool_or("inside").alias("inside"))
     return shapes.select("mask_id", "k", "contour_no").join(flags, ["mask_id", "k", "contour_no"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))

@@ -101,7 +101,7 @@ def segmentation_to_structure(spark: SparkSession, seg: dicom.Segmentation, numb
     data = dicom.write_structures([dicom.Roi(1, label, made, frame_uid=seg.grid.frame_uid)])
     if made:
         back = roi_mask(spark, dicom.parse_structures(data).rois[0], seg.grid).withColumn("mask_id", F.lit("m"))
-        got = masks.overlap(mask, back).first()
+        got = masks.overlap(mask, seg.grid, back, seg.grid).first()
         record.lossy_steps.append({"kind": "vectorize", "voxels_before": int(got.n_a), "voxels_after": int(got.n_b), "disagreement": int(got.disagreement), "dice": float(got.dice)})
     else:
         record.notes.append("the segment has no voxels")

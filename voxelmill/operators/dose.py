@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelmill.operators.grid import Grid
-from voxelmill.operators.masks import KEY
+from voxelmill.operators.masks import KEY, NO_VOXELS, listed
 
-#: Values are first cut into this many ranges, so that a quantile needs to order one range only.
-RANGES = 1024
+#: Values are first cut into ranges, so many for each time that they grow by a factor of e; a
+#: quantile needs to order one range only. Up to so many sought ranges (5 MB) are broadcast.
+RANGES_PER_E, FEW_TARGETS = 4096, 100_000
 
 
 def samples(field: DataFrame, masks: DataFrame, grid: Grid) -> DataFrame:
@@ -49,11 +50,12 @@ def histogram(rows: DataFrame, bins: int, lo: float | None = None, hi: float | N
 
 
 def sensitivity(rows: DataFrame, thresholds: list[float]) -> DataFrame:
-    """mask_id, threshold, vol and fraction of the volume at or above each threshold; one pass."""
+    """mask_id, threshold, vol and fraction of the volume at or above each threshold; one pass,
+    sorted by mask and threshold."""
     sums = rows.groupBy("mask_id").agg(F.sum("vol").alias("total"), *(F.sum(F.when(F.col("v") >= t, F.col("vol")).otherwise(0.0)).alias(f"t{i}") for i, t in enumerate(thresholds)))
     pairs = F.array(*(F.struct(F.lit(float(t)).alias("threshold"), F.col(f"t{i}").alias("vol")) for i, t in enumerate(thresholds)))
     out = sums.select("mask_id", "total", F.explode(pairs).alias("p"))
-    return out.select("mask_id", "p.threshold", "p.vol", F.when(F.col("total") > 0, F.col("p.vol") / F.col("total")).otherwise(0.0).alias("fraction"))
+    return out.select("mask_id", "p.threshold", "p.vol", F.when(F.col("total") > 0, F.col("p.vol") / F.col("total")).otherwise(0.0).alias("fraction")).orderBy("mask_id", "threshold")
 
 
 def volume_above(rows: DataFrame, threshold: float) -> DataFrame:
@@ -61,28 +63,39 @@ def volume_above(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("mask_id").agg(F.sum(F.when(F.col("v") >= threshold, F.col("vol")).otherwise(0.0)).alias("vol"))
 
 
-def value_at(rows: DataFrame, fractions: list[float]) -> DataFrame:
+def value_range(v: Column) -> Column:
+    """The range of a value: rising with it, some 1/4,096 of its size wide, however far others lie."""
+    return F.when(v != 0, F.signum(v) * F.floor(F.log1p(F.abs(v) * 1e6) * RANGES_PER_E)).otherwise(0.0).cast("long")
+
+
+def value_at(rows: DataFrame, fractions: list[float], names: list[str] | DataFrame | None = None) -> DataFrame:
     """mask_id, fraction, value: D(x), the greatest value that at least the fraction of the volume
-    reaches; the least value if sums fall short.
+    reaches; the least value if sums fall short. Named masks without samples fail the job.
 
     Sums over value ranges find the range that holds each answer, and only that range is put in
-    order, so no task orders a whole structure. The samples are read twice.
+    order: some 2,000 different floats at most, so no task orders a whole structure, nor do outliers
+    widen the ranges. The sums of the ranges are kept, and the samples are read twice; the sought
+    ranges, a row for each mask and fraction, are broadcast if there are few enough.
     """
     if not all(0 <= f <= 1 for f in fractions):
         raise ValueError("fractions are between 0 and 1")
-    ranged = _with_range(rows, None, None).withColumn("range", _bin(F.col("v"), F.col("lo"), F.col("hi"), RANGES))
-    sums = ranged.groupBy("mask_id", "range").agg(F.sum("vol").alias("vol"), F.min("lo").alias("least"))
+    ranged = rows.withColumn("range", value_range(F.col("v")))
+    sums = ranged.groupBy("mask_id", "range").agg(F.sum("vol").alias("vol"), F.min("v").alias("least"))
     down = Window.partitionBy("mask_id").orderBy(F.desc("range"))
-    sums = sums.withColumn("upto", F.sum("vol").over(down)).withColumn("total", F.sum("vol").over(Window.partitionBy("mask_id")))
+    sums = sums.withColumns({"upto": F.sum("vol").over(down), "total": F.sum("vol").over(Window.partitionBy("mask_id"))})
     asked = sums.withColumn("fraction", F.explode(F.array(*(F.lit(float(f)) for f in fractions))))
     reached = F.max(F.when(F.col("upto") >= F.col("fraction") * F.col("total"), F.struct("range", F.col("upto") - F.col("vol"))))
     target = asked.groupBy("mask_id", "fraction").agg(reached.alias("hit"), F.min("least").alias("least"), F.max("total").alias("total"))
-    target = target.select("mask_id", "fraction", "least", "total", F.col("hit.range").alias("range"), F.col("hit.col2").alias("before"))
-    values = ranged.groupBy("mask_id", "range", "v").agg(F.sum("vol").alias("vol"))
-    inside = target.join(values, ["mask_id", "range"])
+    target = target.select("mask_id", "fraction", "least", "total", F.col("hit.range").alias("range"), F.col("hit.col2").alias("before")).persist()
+    sought = F.broadcast(target) if target.count() <= FEW_TARGETS else target
+    values = ranged.join(sought, ["mask_id", "range"]).groupBy("mask_id", "fraction", "before", "total", "v").agg(F.sum("vol").alias("vol"))
     running = F.col("before") + F.sum("vol").over(Window.partitionBy("mask_id", "fraction").orderBy(F.desc("v")))
-    found = inside.withColumn("running", running).groupBy("mask_id", "fraction").agg(F.max(F.when(F.col("running") >= F.col("fraction") * F.col("total"), F.col("v"))).alias("value"), F.min("v").alias("low"))
-    return target.select("mask_id", "fraction", "least").join(found, ["mask_id", "fraction"], "left").select("mask_id", "fraction", F.coalesce("value", "low", "least").alias("value"))
+    found = values.withColumn("running", running).groupBy("mask_id", "fraction").agg(F.max(F.when(F.col("running") >= F.col("fraction") * F.col("total"), F.col("v"))).alias("value"), F.min("v").alias("low"))
+    out = target.select("mask_id", "fraction", "least").join(found, ["mask_id", "fraction"], "left").select("mask_id", "fraction", F.coalesce("value", "low", "least").alias("value"))
+    if names is None:
+        return out
+    every = listed(rows, names).withColumn("fraction", F.explode(F.array(*(F.lit(float(f)) for f in fractions))))
+    return every.join(out, ["mask_id", "fraction"], "left").withColumn("value", F.coalesce("value", F.raise_error(F.lit(NO_VOXELS)).cast("double")))
 
 
 def mean_value(rows: DataFrame) -> DataFrame:

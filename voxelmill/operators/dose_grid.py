@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,13 +17,15 @@ class DoseQuery:
 
     ``supersample``: None samples the centre of each voxel of a structure (the dose is resampled to
     the structure's grid, unless that is the same); 2 to 4 samples so many sub-centres per axis.
-    Every result carries a ``method`` struct. Structures without voxels give no row.
+    Every result carries a ``method`` struct. Structures without voxels give no row. A grid that the
+    dose was resampled to is kept (in memory and on disk, until ``release``) for the next question.
     """
 
     field: DataFrame
     grid: Grid
     method: str = "trilinear"
     supersample: int | None = None
+    _kept: dict = field(default_factory=dict, repr=False, compare=False)
 
     def __post_init__(self):
         if self.supersample is not None and self.supersample not in (2, 3, 4):
@@ -39,8 +41,18 @@ class DoseQuery:
         """mask_id, v, vol under each mask, and whether the dose was resampled."""
         if self.supersample:
             return sampling.supersample(self.field, self.grid, masks, grid, self.supersample), False
-        field, resampled = sampling.field_on(self.field, self.grid, grid, method=self.method)
-        return dose.samples(field, masks, grid), resampled
+        if grid not in self._kept:
+            out, resampled = sampling.field_on(self.field, self.grid, grid, method=self.method)
+            self._kept[grid] = (out.persist() if resampled else out, resampled)
+        out, resampled = self._kept[grid]
+        return dose.samples(out, masks, grid), resampled
+
+    def release(self) -> None:
+        """Drop the resampled fields."""
+        for out, resampled in self._kept.values():
+            if resampled:
+                out.unpersist()
+        self._kept.clear()
 
     def _tagged(self, out: DataFrame, resampled: bool) -> DataFrame:
         return out.withColumn("method", dose.method_tag("supersample" if self.supersample else "whole", self.supersample or 1, resampled))

@@ -143,6 +143,12 @@ class Grid:
         if self.voxels > most:
             raise errors.ResourceLimitError(f"{self.voxels} voxels, {most} allowed")
 
+    def require_index(self, *, k: int | None = None, r: int | None = None, c: int | None = None) -> None:
+        """Integers within the grid; what is None isn't looked at."""
+        for name, i, n in (("plane", k, len(self.planes)), ("row", r, self.rows), ("column", c, self.cols)):
+            if i is not None and (not isinstance(i, int) or not 0 <= i < n):
+                raise IndexError(f"{name} {i!r} is not in 0..{n - 1}")
+
     def fingerprint(self) -> str:
         """Equal fingerprints hint at equal grids; different ones prove nothing."""
         three = lambda xs: ",".join(f"{x:.3f}" for x in xs)
@@ -248,6 +254,23 @@ def plane_thickness(planes: DataFrame, key: str = "grid_id") -> DataFrame:
     return planes.withColumn("thickness", F.coalesce((after - before) / 2, after - F.col("proj"), F.col("proj") - before))
 
 
+GRID_TYPE = "struct<rows:int,cols:int,row_dir:array<double>,col_dir:array<double>,spacing:array<double>,planes:array<array<double>>,frame_uid:string>"
+
+
+def same_column(a: Column, b: Column, tol: Tolerance = Tolerance()) -> Column:
+    """``Grid.same`` of two grids that are columns of ``GRID_TYPE``, planes sorted. Symmetric, but not
+    transitive: a test for pairs that are given, not a key to join on."""
+    apart = lambda p, q: F.sqrt(sum(((p[i] - q[i]) * (p[i] - q[i]) for i in range(3)), F.lit(0.0)))
+    size = lambda v: F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
+    cosine = lambda p, q: (p[0] * q[0] + p[1] * q[1] + p[2] * q[2]) / (size(p) * size(q))
+    angle = lambda n: F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine(a[n], b[n]))))
+    frames = a["frame_uid"].isNull() | b["frame_uid"].isNull() | (a["frame_uid"] == b["frame_uid"])
+    sizes = (a["rows"] == b["rows"]) & (a["cols"] == b["cols"]) & (F.size(a["planes"]) == F.size(b["planes"]))
+    spacing = (F.abs(a["spacing"][0] - b["spacing"][0]) <= tol.spacing_mm) & (F.abs(a["spacing"][1] - b["spacing"][1]) <= tol.spacing_mm)
+    near = F.forall(F.zip_with(a["planes"], b["planes"], apart), lambda d: d <= tol.position_mm)
+    return frames & sizes & F.when(sizes, spacing & (angle("row_dir") <= tol.angle_rad) & (angle("col_dir") <= tol.angle_rad) & near).otherwise(False)
+
+
 def uniform_flags(planes: DataFrame, key: str = "grid_id", tolerance: float = UNIFORM_MM) -> DataFrame:
     """key, uniform: every gap within ``tolerance`` of the first one; under three planes: true."""
     w = Window.partitionBy(key).orderBy("proj")

@@ -1,6 +1,8 @@
 """Masks as sets of occupied voxels (mask_id, k, r, c): set algebra, boxes, counts, overlap.
 
-Every operator takes any number of masks at once; ``mask_id`` is the grouping key throughout.
+Every operator takes any number of masks at once; ``mask_id`` is the grouping key throughout. A
+mask without voxels has no rows, so operators that have an answer for it take ``names``: the masks
+that are asked for (a list, or a table with mask_id); by default those that have voxels.
 """
 
 from __future__ import annotations
@@ -9,12 +11,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill import errors
-from voxelmill.operators.grid import Grid
+from voxelmill.operators.grid import Grid, Tolerance
 
 KEY = ["k", "r", "c"]
 ID = ["mask_id", *KEY]
 
 
+def listed(masks: DataFrame, names: list[str] | DataFrame | None = None) -> DataFrame:
+    """mask_id of the masks that are asked for, each once."""
+    if names is None:
+        return masks.select("mask_id").distinct()
+    if isinstance(names, DataFrame):
+        return names.select("mask_id").distinct()
+    return masks.sparkSession.createDataFrame([(n,) for n in sorted(set(names))], "mask_id string")
+
+
+def empty(spark: SparkSession) -> DataFrame:
+    """Masks without any voxel."""
+    return spark.createDataFrame([], "mask_id string, k int, r int, c int")
+
+
 def from_dense(spark: SparkSession, grid: Grid, values: list[int], mask_id: str = "mask") -> DataFrame:
     """A mask from one value per voxel in plane, row, column order."""
     if len(values) != grid.voxels:
@@ -80,34 +96,36 @@ def analytic_volume(kind: str, *sizes: float) -> float:
 # --- set algebra -----------------------------------------------------------------------------
 
 
-def union(a: DataFrame, b: DataFrame) -> DataFrame:
+def union(a: DataFrame, grid_a: Grid, b: DataFrame, grid_b: Grid, tolerance: Tolerance = Tolerance()) -> DataFrame:
+    grid_a.require_same(grid_b, tolerance)
     return a.select(*ID).union(b.select(*ID)).distinct()
 
 
-def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
+def intersection(a: DataFrame, grid_a: Grid, b: DataFrame, grid_b: Grid, tolerance: Tolerance = Tolerance()) -> DataFrame:
+    grid_a.require_same(grid_b, tolerance)
     return a.select(*ID).join(b.select(*ID), ID, "left_semi")
 
 
-def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
+def subtract(a: DataFrame, grid_a: Grid, b: DataFrame, grid_b: Grid, tolerance: Tolerance = Tolerance()) -> DataFrame:
+    grid_a.require_same(grid_b, tolerance)
     return a.select(*ID).join(b.select(*ID), ID, "left_anti")
 
 
-def xor(a: DataFrame, b: DataFrame) -> DataFrame:
+def xor(a: DataFrame, grid_a: Grid, b: DataFrame, grid_b: Grid, tolerance: Tolerance = Tolerance()) -> DataFrame:
     """One aggregation: voxels that are in just one of the sets."""
+    grid_a.require_same(grid_b, tolerance)
     both = a.select(*ID, F.lit(1).alias("side")).union(b.select(*ID, F.lit(2).alias("side")))
     return both.groupBy(*ID).agg(F.sum("side").alias("s")).filter("s < 3").select(*ID)
 
 
-def complement(masks: DataFrame, grid: Grid) -> DataFrame:
-    """The voxels of the grid outside each mask; the dense grid is a range, never stored. Masks
-    without voxels have no row, so their complement has none either."""
-    spark = masks.sparkSession
-    names = masks.select("mask_id").distinct()
-    every = names.crossJoin(F.broadcast(grid.voxel_table(spark))) if grid.voxels <= 1 << 16 else _every(names, grid)
-    return every.select(*ID).join(masks.select(*ID), ID, "left_anti")
+def complement(masks: DataFrame, grid: Grid, names: list[str] | DataFrame | None = None) -> DataFrame:
+    """The voxels of the grid outside each mask; for a named one without voxels, the whole grid. The
+    dense grid is made on the way, never stored."""
+    grid.require_budget()
+    return every_voxel(listed(masks, names), grid).select(*ID).join(masks.select(*ID), ID, "left_anti")
 
 
-def _every(names: DataFrame, grid: Grid) -> DataFrame:
+def every_voxel(names: DataFrame, grid: Grid) -> DataFrame:
     """All voxels of a grid for each mask, plane by plane, without a cross join."""
     planes = names.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(len(grid.planes) - 1)))).repartition("mask_id", "k")
     rows = planes.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(grid.rows - 1))))
@@ -117,13 +135,33 @@ def _every(names: DataFrame, grid: Grid) -> DataFrame:
 # --- boxes -----------------------------------------------------------------------------------
 
 
-def bounding_box(masks: DataFrame) -> DataFrame:
-    """Inclusive index bounds of each mask."""
-    return masks.groupBy("mask_id").agg(*(f(x).alias(f"{x}_{n}") for x in KEY for n, f in (("min", F.min), ("max", F.max))))
+def bounding_box(masks: DataFrame, names: list[str] | DataFrame | None = None) -> DataFrame:
+    """Inclusive index bounds of each mask; null for named ones without voxels."""
+    boxes = masks.groupBy("mask_id").agg(*(f(x).alias(f"{x}_{n}") for x in KEY for n, f in (("min", F.min), ("max", F.max))))
+    return boxes if names is None else listed(masks, names).join(boxes, "mask_id", "left")
+
 
+def value(masks: DataFrame, grid: Grid, k: int, r: int, c: int, names: list[str] | DataFrame | None = None) -> DataFrame:
+    """mask_id, value: 1 if the voxel is in the mask, else 0. Indices off the grid are refused."""
+    grid.require_index(k=k, r=r, c=c)
+    here = masks.filter((F.col("k") == k) & (F.col("r") == r) & (F.col("c") == c)).select("mask_id", F.lit(1).alias("value")).distinct()
+    return listed(masks, names).join(here, "mask_id", "left").select("mask_id", F.coalesce("value", F.lit(0)).alias("value"))
 
-def crop(masks: DataFrame, grid: Grid, box: tuple[int, int, int, int, int, int]) -> tuple[DataFrame, Grid]:
-    """Masks on the sub-grid of an inclusive box (k0, k1, r0, r1, c0, c1); places stay put."""
+
+def plane(masks: DataFrame, grid: Grid, k: int) -> DataFrame:
+    """The voxels of one plane; an index off the grid is refused."""
+    grid.require_index(k=k)
+    return masks.filter(F.col("k") == k).select(*ID)
+
+
+def crop(masks: DataFrame, grid: Grid, box: tuple[int, int, int, int, int, int] | None = None) -> tuple[DataFrame, Grid]:
+    """Masks on the sub-grid of an inclusive box (k0, k1, r0, r1, c0, c1); places stay put. By
+    default it is the box around all of them (six numbers on the driver); without any voxel there
+    is none."""
+    if box is None:
+        box = tuple(masks.agg(*(f(x) for x in KEY for f in (F.min, F.max))).first())
+        if None in box:
+            raise ValueError("masks without voxels have no box to crop to")
     k0, k1, r0, r1, c0, c1 = box
     if not all(isinstance(x, int) for x in box) or not (0 <= k0 <= k1 < len(grid.planes) and 0 <= r0 <= r1 < grid.rows and 0 <= c0 <= c1 < grid.cols):
         raise ValueError(f"box {box} is not inside the grid")
@@ -169,23 +207,35 @@ def volume(masks: DataFrame, grid: Grid, method: str = "voxel") -> DataFrame:
     return per.groupBy("mask_id").agg(F.sum(F.col("n") * grid.volume_of(F.col("k"))).alias("volume_mm3"))
 
 
-def overlap(a: DataFrame, b: DataFrame, on: list[str] | None = None) -> DataFrame:
-    """Counts, Dice and disagreement of masks a and b that share a mask_id, in one aggregation."""
+def overlap(a: DataFrame, grid_a: Grid, b: DataFrame, grid_b: Grid, on: list[str] | None = None, *, names: list[str] | DataFrame | None = None, tolerance: Tolerance = Tolerance()) -> DataFrame:
+    """Counts, Dice and disagreement of masks a and b that share a mask_id, in one aggregation. Two
+    masks without voxels are alike: Dice 1, for those that are named."""
+    grid_a.require_same(grid_b, tolerance)
     on = on or ["mask_id"]
     both = a.select(*on, *KEY, F.lit(1).alias("in_a"), F.lit(0).alias("in_b")).union(b.select(*on, *KEY, F.lit(0), F.lit(1)))
     per = both.groupBy(*on, *KEY).agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
     out = per.groupBy(*on).agg(F.sum("in_a").alias("n_a"), F.sum("in_b").alias("n_b"), F.sum(F.col("in_a") * F.col("in_b")).alias("n_both"))
+    if names is not None:
+        out = listed(a, names).join(out, on, "left").select(*on, *(F.coalesce(n, F.lit(0)).alias(n) for n in ("n_a", "n_b", "n_both")))
     total = F.col("n_a") + F.col("n_b")
-    return out.withColumns({"dice": F.when(total == 0, 1.0).otherwise(2.0 * F.col("n_both") / total), "disagreement": total - 2 * F.col("n_both")})
+    return out.withColumns({"dice": F.when(total == 0, 1.0).otherwise(2.0 * F.col("n_both") / F.when(total != 0, total)), "disagreement": total - 2 * F.col("n_both")})
+
+
+#: What asking an empty mask for a place or a quantile fails with.
+NO_VOXELS = "INDETERMINATE: a mask without voxels"
 
 
-def centroid(masks: DataFrame, grid: Grid) -> DataFrame:
+def centroid(masks: DataFrame, grid: Grid, names: list[str] | DataFrame | None = None) -> DataFrame:
     """mask_id, index means ic, ir, ik and patient means x, y, z, weighted by plane thickness
-    (weight 1 on a grid of one plane). Masks without voxels have no row."""
+    (weight 1 on a grid of one plane). Named masks without voxels fail the job."""
     weight = grid.thickness_of(F.col("k")) if len(grid.planes) > 1 else F.lit(1.0)
     p = grid.patient(F.col("k"), F.col("r"), F.col("c"))
+    means = ("ic", "ir", "ik", "x", "y", "z")
     rows = masks.select("mask_id", weight.alias("w"), F.col("c").alias("ic"), F.col("r").alias("ir"), F.col("k").alias("ik"), p[0].alias("x"), p[1].alias("y"), p[2].alias("z"))
-    return rows.groupBy("mask_id").agg(*((F.sum(F.col(v) * F.col("w")) / F.sum("w")).alias(v) for v in ("ic", "ir", "ik", "x", "y", "z")))
+    out = rows.groupBy("mask_id").agg(*((F.sum(F.col(v) * F.col("w")) / F.sum("w")).alias(v) for v in means))
+    if names is None:
+        return out
+    return listed(masks, names).join(out, "mask_id", "left").withColumns({v: F.coalesce(v, F.raise_error(F.lit(NO_VOXELS)).cast("double")) for v in means})
 
 
 def displacement(a: DataFrame, grid_a: Grid, b: DataFrame, grid_b: Grid) -> DataFrame:

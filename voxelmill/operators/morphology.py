@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelmill.operators.grid import Grid
-from voxelmill.operators.masks import ID, KEY, complement, inside, linear_index
+from voxelmill.operators.masks import ID, KEY, complement, every_voxel, inside, linear_index, listed
 
 #: The distance where a mask has no voxel to be distant from.
 NOWHERE = 1e10
@@ -62,10 +62,14 @@ def squared_distances(masks: DataFrame, grid: Grid) -> DataFrame:
     return flat.groupBy("mask_id", "r").applyInArrow(through, "mask_id string, k int, r int, c int, d2 double")
 
 
-def distance_transform(masks: DataFrame, grid: Grid, *, signed: bool = False) -> DataFrame:
+def distance_transform(masks: DataFrame, grid: Grid, *, signed: bool = False, names: list[str] | DataFrame | None = None) -> DataFrame:
     """mask_id, k, r, c, v (float): the distance in mm to the mask; ``signed``: inside the mask minus
-    the distance to its outside, or minus 1e10 if there is none. Masks without voxels have no row."""
+    the distance to its outside, or minus 1e10 if there is none. Named masks without voxels are 1e10
+    away from everywhere."""
     out = squared_distances(masks, grid).select(*ID, F.sqrt("d2").alias("d"))
+    if names is not None:
+        without = listed(masks, names).join(listed(masks), "mask_id", "left_anti")
+        out = out.union(every_voxel(without, grid).select(*ID, F.lit(NOWHERE)))
     if not signed:
         return out.select(*ID, F.col("d").cast("float").alias("v"))
     back = squared_distances(complement(masks, grid), grid).select(*ID, F.sqrt("d2").alias("b"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelmill.functions.columns import angle_between, cross, dot, length, normalize, scale, sub, vec
+
 #: FNV-1a, 32 bits: fixed values.
 FNV_BASIS, FNV_PRIME = 2166136261, 16777619
 
@@ -25,17 +27,59 @@ def slice_checksums(masks: DataFrame, rows: int, cols: int) -> DataFrame:
     return per.select("mask_id", "k", fnv1a(F.slice(flags, 1, rows * cols)).alias("checksum"), F.size("on").cast("long").alias("nonzero"))
 
 
+def value_checksums(values: DataFrame, key: list[str], pixels: int, index: str = "i") -> DataFrame:
+    """key, checksum, nonzero, sum and max of slices of byte values (``key``, an index below
+    ``pixels`` and v; missing pixels are 0). Slices without a row have none here either."""
+    per = values.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(F.col(index).cast("int").alias("i"), F.col("v").cast("int").alias("v")))).alias("m"), F.count_if(F.col("v") != 0).alias("nonzero"), F.sum(F.col("v").cast("long")).alias("sum"), F.max(F.col("v").cast("long")).alias("max"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(pixels - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).bitwiseAND(255))
+    return per.select(*key, fnv1a(dense).alias("checksum"), "nonzero", "sum", F.greatest("max", F.lit(0)).alias("max"))
+
+
+def compare_slices(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """One row for each segment of ``ours``: segment, matched (``theirs`` has it), count_delta,
+    checked and exact (slices that both have at the same z, and those of equal checksum and count),
+    missing (occupied slices of ours without a counterpart) and first_mismatch_z.
+
+    Both are slices (segment, z, checksum, nonzero). They meet on the segment and z in whole
+    micrometres, halves up. Of slices of one side at the same place the last by checksum counts."""
+    place = F.floor(F.col("z") * 1000 + 0.5).cast("long")
+    side = lambda df, n: df.groupBy("segment", place.alias("zk")).agg(F.max_by(F.struct("z", "checksum", "nonzero"), "checksum").alias(n))
+    total = lambda df, n: df.groupBy("segment").agg(F.sum("nonzero").alias(n))
+    met = side(ours, "a").join(side(theirs, "b"), ["segment", "zk"], "left")
+    same = (F.col("a.checksum") == F.col("b.checksum")) & (F.col("a.nonzero") == F.col("b.nonzero"))
+    both = F.col("b").isNotNull()
+    per = met.groupBy("segment").agg(F.count_if(both).alias("checked"), F.count_if(both & same).alias("exact"), F.count_if(~both & (F.col("a.nonzero") > 0)).alias("missing"), F.min(F.when(both & ~same, F.col("a.z"))).alias("first_mismatch_z"))
+    counts = total(ours, "n_a").join(total(theirs, "n_b"), "segment", "left")
+    out = per.join(counts, "segment")
+    return out.select("segment", F.col("n_b").isNotNull().alias("matched"), (F.col("n_a") - F.col("n_b")).alias("count_delta"), "checked", "exact", "missing", "first_mismatch_z")
+
+
 def keyholes(contours: DataFrame, near_mm: float = 0.05) -> DataFrame:
     """mask_id, contour_no, exact, near: whether a contour comes back to a point (exactly, or within
-    ``near_mm``) three or more points later, other than by closing."""
+    ``near_mm``) three or more points later, other than by closing. Points meet those of the cells
+    around them only, so a long contour isn't compared all with all."""
     p = contours.select("mask_id", "contour_no", F.size("points").alias("n"), F.posexplode("points").alias("i", "p"))
-    q = p.select("mask_id", "contour_no", F.col("i").alias("j"), F.col("p").alias("q"))
-    met = p.join(q, ["mask_id", "contour_no"]).filter((F.col("j") >= F.col("i") + 3) & (F.col("j") - F.col("i") < F.col("n") - 1))
+    cell = [F.floor(F.col(f"p.{a}") / near_mm) for a in "xyz"]
+    steps = F.sequence(F.lit(-1), F.lit(1))
+    around = p.withColumns({f"_{a}": c for a, c in zip("xyz", cell, strict=True)})
+    q = around.select("mask_id", "contour_no", F.col("i").alias("j"), F.col("p").alias("q"), *(f"_{a}" for a in "xyz"))
+    for a in "xyz":
+        around = around.withColumn("_step", F.explode(steps)).withColumn(f"_{a}", F.col(f"_{a}") + F.col("_step")).drop("_step")
+    met = around.join(q, ["mask_id", "contour_no", "_x", "_y", "_z"]).filter((F.col("j") >= F.col("i") + 3) & (F.col("j") - F.col("i") < F.col("n") - 1))
     far = F.sqrt(sum(((F.col(f"p.{a}") - F.col(f"q.{a}")) * (F.col(f"p.{a}") - F.col(f"q.{a}")) for a in "xyz"), F.lit(0.0)))
     flags = met.groupBy("mask_id", "contour_no").agg(F.bool_or(far == 0).alias("exact"), F.bool_or(far < near_mm).alias("near"))
     return contours.select("mask_id", "contour_no").join(flags, ["mask_id", "contour_no"], "left").select("mask_id", "contour_no", F.coalesce("exact", F.lit(False)).alias("exact"), F.coalesce("near", F.lit(False)).alias("near"))
 
 
+def census(contours: DataFrame, near_mm: float = 0.05, least_points: int = 6) -> DataFrame:
+    """mask_id, contours, points, xor_contours, and the closed planar contours of ``least_points``
+    and more that come back to a point: exactly, or only nearly (exact_revisits, near_revisits)."""
+    closed = contours.filter((F.col("geometric_type") == "CLOSED_PLANAR") & (F.size("points") >= least_points))
+    back = keyholes(closed, near_mm).groupBy("mask_id").agg(F.count_if("exact").alias("exact_revisits"), F.count_if(F.col("near") & ~F.col("exact")).alias("near_revisits"))
+    every = contours.groupBy("mask_id").agg(F.count("*").alias("contours"), F.sum(F.size("points")).alias("points"), F.count_if(F.col("geometric_type") == "CLOSEDPLANAR_XOR").alias("xor_contours"))
+    return every.join(back, "mask_id", "left").select("mask_id", "contours", "points", "xor_contours", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("exact_revisits", "near_revisits")))
+
+
 #: Absolute and relative tolerance of each kind of metric.
 TOLERANCES = {"dose": (0.5, 0.02), "volume": (1.0, 0.02), "percent": (2.0, 0.0)}
 
@@ -51,6 +95,13 @@ def agreement(ours: DataFrame, theirs: DataFrame, kinds: dict[str, str]) -> Data
     return both.select("name", "metric", "ours", "theirs", delta.alias("delta"), (F.abs(delta) <= F.greatest(F.col("_t.abs"), F.col("_t.rel") * F.abs("theirs"))).alias("within"))
 
 
+def flagged(report: DataFrame) -> DataFrame:
+    """The rows of ``agreement`` outside their tolerance, the greatest relative difference first."""
+    percent = F.when(F.col("theirs") != 0, F.col("delta") / F.when(F.col("theirs") != 0, F.col("theirs")) * 100)
+    out = report.filter(~F.col("within")).withColumn("percent", percent)
+    return out.orderBy(F.desc(F.abs(F.coalesce("percent", F.lit(0.0)))), "name", "metric")
+
+
 def point_ratios(ours: DataFrame, original: DataFrame) -> DataFrame:
     """mask_id, ours, original, ratio: the points of both sides' contours."""
     total = lambda df, n: df.groupBy("mask_id").agg(F.sum(F.size("points")).alias(n))
@@ -64,7 +115,32 @@ def write_report(rows: DataFrame, path: str) -> None:
 
 def spreads(planes: DataFrame, key: str) -> DataFrame:
     """key, planes, min_gap, mean_gap, max_gap of the gaps between sorted projections."""
-    from pyspark.sql import Window
-
     gap = F.col("proj") - F.lag("proj").over(Window.partitionBy(key).orderBy("proj"))
     return planes.withColumn("gap", gap).groupBy(key).agg(F.count("*").alias("planes"), F.min("gap").alias("min_gap"), F.avg("gap").alias("mean_gap"), F.max("gap").alias("max_gap"))
+
+
+def series_noise(instances: DataFrame, key: str, order: str) -> DataFrame:
+    """How much the instances of a series differ: key, instances, spacing_spread, row_angle and
+    col_angle (greatest differences from the first instance by ``order``), off_axis (greatest distance
+    from its normal), min_gap, mean_gap, max_gap, and digits: the fewest fractional digits of its
+    decimal strings, of those that are not zero and have no exponent (0 if there are none).
+
+    instances: key, order, spacing (array of 2), orientation (array of 6), position (array of 3) and
+    decimals (array of strings). Series of one instance have no row."""
+    first = instances.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct("spacing", "orientation", "position"), order).alias("f"), F.count("*").alias("instances")).filter("instances > 1")
+    vector = lambda c, i: vec(*(F.get(c, F.lit(i + j)) for j in range(3)))
+    row0, col0 = vector(F.col("f.orientation"), 0), vector(F.col("f.orientation"), 3)
+    moved = sub(vector(F.col("position"), 0), vector(F.col("f.position"), 0))
+    normal = normalize(cross(row0, col0))
+    along = dot(moved, normal)
+    aside = length(sub(moved, scale(normal, along)))
+    plain = F.filter("decimals", lambda d: ~d.rlike("[eE]") & (F.abs(d.try_cast("double")) >= 1e-9))
+    digits = F.array_min(F.transform(plain, lambda d: F.when(d.contains("."), F.length(F.substring_index(d, ".", -1))).otherwise(0)))
+    apart = F.greatest(*(F.abs(F.get("spacing", F.lit(i)) - F.get("f.spacing", F.lit(i))) for i in range(2)))
+    angles = [angle_between(a, vector(F.col("orientation"), 3 * i)) for i, a in enumerate((row0, col0))]
+    rows = instances.join(first, F.col(key) == F.col("_key")).select(key, "instances", apart.alias("apart"), angles[0].alias("ra"), angles[1].alias("ca"), aside.alias("aside"), along.alias("along"), digits.alias("digits"))
+    gap = F.col("along") - F.lag("along").over(Window.partitionBy(key).orderBy("along"))
+    return rows.withColumn("gap", gap).groupBy(key).agg(
+        F.max("instances").alias("instances"), F.max("apart").alias("spacing_spread"), F.max("ra").alias("row_angle"), F.max("ca").alias("col_angle"), F.max("aside").alias("off_axis"),
+        F.min("gap").alias("min_gap"), F.avg("gap").alias("mean_gap"), F.max("gap").alias("max_gap"), F.coalesce(F.min("digits"), F.lit(0)).alias("digits"),
+    )

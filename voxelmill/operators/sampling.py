@@ -6,7 +6,7 @@ The source is read by joins on its voxel keys, whatever its size; a source of at
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.functions.columns import lerp, round_half_up
@@ -17,6 +17,59 @@ KERNEL_VOXELS = 8_000_000
 EDGE = 1e-9
 
 
+def from_dense(spark: SparkSession, grid: Grid, values) -> DataFrame:
+    """k, r, c, v (float) of one value for each voxel in plane, row, column order; a list or an array."""
+    import numpy as np
+    import pyarrow as pa
+
+    grid.require_budget()
+    flat = np.asarray(values, dtype=np.float32).ravel()
+    if len(flat) != grid.voxels:
+        raise ValueError("one value for each voxel is needed")
+    at = np.stack(np.unravel_index(np.arange(len(flat)), (len(grid.planes), grid.rows, grid.cols))).astype(np.int32)
+    return spark.createDataFrame(pa.table({**{n: at[i] for i, n in enumerate(KEY)}, "v": flat}))
+
+
+def generated(spark: SparkSession, grid: Grid, make) -> DataFrame:
+    """k, r, c, v (float) of a column expression ``make(c, r, k)`` of the voxel's index columns, or of a
+    function of index arrays that is marked with ``vectorised`` and runs plane by plane on executors."""
+    grid.require_budget()
+    if not getattr(make, "vectorised", False):
+        return grid.voxel_table(spark).select(*KEY, make(F.col("c"), F.col("r"), F.col("k")).cast("float").alias("v"))
+    rows, cols = grid.rows, grid.cols
+
+    def fill(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                r, c = np.divmod(np.arange(rows * cols, dtype=np.int32), np.int32(cols))
+                v = np.broadcast_to(np.asarray(make(c, r, np.full(len(c), k, np.int32)), dtype=np.float32), c.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), k, np.int32)), pa.array(r), pa.array(c), pa.array(v)], [*KEY, "v"])
+
+    planes = spark.range(len(grid.planes), numPartitions=min(len(grid.planes), 256)).select(F.col("id").cast("int").alias("k"))
+    return planes.mapInArrow(fill, "k int, r int, c int, v float")
+
+
+def vectorised(make):
+    """Marks a callback of ``generated`` that takes and gives arrays."""
+    make.vectorised = True
+    return make
+
+
+def value(field: DataFrame, grid: Grid, k: int, r: int, c: int) -> DataFrame:
+    """v of one voxel; indices off the grid are refused."""
+    grid.require_index(k=k, r=r, c=c)
+    return field.filter((F.col("k") == k) & (F.col("r") == r) & (F.col("c") == c)).select("v")
+
+
+def plane(field: DataFrame, grid: Grid, k: int) -> DataFrame:
+    """The voxels of one plane; an index off the grid is refused."""
+    grid.require_index(k=k)
+    return field.filter(F.col("k") == k).select(*KEY, "v")
+
+
 def continuous_index(points: DataFrame, grid: Grid) -> DataFrame:
     """Adds fx, fy, fz of the points x, y, z; fz is null outside the plane stack. On a single plane
     fz is 0, however far the point."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelmill.operators.masks import KEY
+from voxelmill.operators.sampling import from_dense, sample
 
 
 def last_wins(rows: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -71,3 +72,9 @@ def inconsistent(instances: DataFrame, series: str, order: str, values: dict[str
     for c, tolerance in values.items():
         bad = bad | (F.abs(F.col(c) - F.col(f"_{c}")) > tolerance)
     return out.filter(bad).drop(*(f"_{c}" for c in values))
+
+
+def sample_confidence(points: DataFrame, seg, number: int, *, method: str = "trilinear") -> DataFrame:
+    """The points (point_id, x, y, z) with ``value``: the fraction of a FRACTIONAL segment there, 0
+    outside. ``seg``: a parsed segmentation; a segment of another type is refused."""
+    return sample(points, from_dense(points.sparkSession, seg.grid, seg.field(number)), seg.grid, method=method)

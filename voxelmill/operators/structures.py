@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill import errors
-from voxelmill.operators import contours
+from voxelmill.operators import contours, masks
 from voxelmill.operators.grid import Diagnostic, Grid
 from voxelmill.sources import dicom
 
@@ -25,6 +25,15 @@ class Structures:
     rois: DataFrame
     diagnostics: DataFrame
     notes: list[Diagnostic]
+    grid: Grid | None = None
+
+    def mask(self, number: int) -> DataFrame:
+        """The voxels of one ROI."""
+        return self.masks.filter(F.col("mask_id") == str(number))
+
+    def mask_plane(self, number: int, k: int) -> DataFrame:
+        """The voxels of one ROI on one plane; an index off the grid is refused."""
+        return masks.plane(self.mask(number), self.grid, k)
 
 
 def contour_table(spark: SparkSession, structures: dicom.StructureSet) -> DataFrame:
@@ -75,7 +84,7 @@ def load(spark: SparkSession, structures: dicom.StructureSet, grid: Grid, *, sli
     base = spark.createDataFrame([(str(r.number), r.name, r.interpreted_type, r.volume_cm3, r.frame_uid, len(r.contours)) for r in structures.rois], "mask_id string, name string, interpreted_type string, volume_cm3 double, frame_uid string, n_contours int")
     rois = base.join(contours.association_summary(shapes), "mask_id", "left").join(contours.hole_interpretation(shapes, grid), "mask_id", "left")
     nested = contours.nesting(placed.filter(F.col("geometric_type") == "CLOSED_PLANAR"), grid)
-    return Structures(contours.rasterize(placed, grid), rois, contour_diagnostics(placed, nested, grid), notes)
+    return Structures(contours.rasterize(placed, grid), rois, contour_diagnostics(placed, nested, grid), notes, grid)
 
 
 def from_mask(mask: DataFrame, grid: Grid, name: str, *, interpreted_type: str = "ORGAN", frame_uid: str | None = None) -> bytes:

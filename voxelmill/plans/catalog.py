@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelmill.functions import columns as fn
-from voxelmill.operators import contours, dose, grid, masks, morphology, sampling
+from voxelmill.operators import contours, dose, grid, masks, morphology, report, sampling
 from voxelmill.sources import tables as t
 
 QUERIES: dict = {}
@@ -209,7 +209,7 @@ OVERLAP = "(SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, (SE
 
 
 def ab(spark, d):
-    return t.mask(spark, d, "A", "m"), t.mask(spark, d, "B", "m")
+    return t.mask(spark, d, "A", "m"), L, t.mask(spark, d, "B", "m"), L
 
 
 @register("dice", f", o AS (SELECT {OVERLAP}) SELECT n_a, n_b, n_both, round(2.0 * n_both / (n_a + n_b), 6) AS dice FROM o")
@@ -232,8 +232,7 @@ def centroid(spark, d):
 
 @register("centroid_displacement", f", ce AS (SELECT mask_id, sum(c * w) / sum(w) AS x, sum(2.0 * r * w) / sum(w) AS y, sum(({H})[k + 1] * w) / sum(w) AS z FROM (SELECT *, ({THICK})[k + 1]::DOUBLE AS w FROM ms) GROUP BY mask_id) SELECT round(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2), 6) AS displacement_mm FROM ce p, ce q WHERE p.mask_id = 'A' AND q.mask_id = 'B'")
 def centroid_displacement(spark, d):
-    a, b = ab(spark, d)
-    return rounded(masks.displacement(a, L, b, L).select("displacement_mm"), "displacement_mm")
+    return rounded(masks.displacement(*ab(spark, d)).select("displacement_mm"), "displacement_mm")
 
 
 @register("bounding_box", "SELECT mask_id, min(k) AS k_min, max(k) AS k_max, min(r) AS r_min, max(r) AS r_max, min(c) AS c_min, max(c) AS c_max FROM ms GROUP BY mask_id")
@@ -333,20 +332,28 @@ def slice_order_reversed(spark, d):
     return grid.reversed_flags(rows)
 
 
-@register("grid_equality", """WITH g AS (SELECT s_suppkey AS id, s_nationkey AS rows_, round(s_acctbal)::BIGINT % 5 / 100.0::DOUBLE AS shift FROM supplier)
-SELECT p.id AS a, q.id AS b FROM g p JOIN g q ON p.rows_ = q.rows_ AND p.id < q.id WHERE abs(p.shift - q.shift) <= 0.01""", prelude=False)
+# frames 1.2.0 to 1.2.2 (or none), spacings 4 thousandths apart, planes a quarter apart: of neighbours by key, some are the same
+GRIDS = "WITH g AS (SELECT s_suppkey AS id, s_nationkey % 3 AS size, round(s_acctbal)::BIGINT % 5 AS step, s_suppkey % 4 AS frame, s_suppkey % 7 AS shift FROM supplier)"
+
+
+@register("grid_equality", GRIDS + """ SELECT p.id, (p.frame = 3 OR q.frame = 3 OR p.frame = q.frame) AND p.size = q.size AND abs(p.step - q.step) <= 2 AND abs(p.shift - q.shift) <= 2 AND true AS same
+FROM g p JOIN g q ON q.id = p.id + 4 OR q.id = p.id + 1""", prelude=False)
 def grid_equality(spark, d):
-    # tolerance is no equivalence: exact parts of the grid join, the rest is compared
-    rows = t.read(spark, d, "supplier").select(F.col("s_suppkey").alias("a"), F.col("s_nationkey").alias("rows"), (F.round("s_acctbal").cast("long") % 5 / 100.0).alias("shift"))
-    other = rows.select(F.col("a").alias("b"), "rows", F.col("shift").alias("other"))
-    return rows.join(other, "rows").filter((F.col("a") < F.col("b")) & (F.abs(F.col("shift") - F.col("other")) <= grid.SPACING_MM)).select("a", "b")
+    s, number = F.col("s_suppkey"), F.round("s_acctbal").cast("long") % 5
+    spacing = F.array(1 + number * 0.004, F.lit(1.0))
+    planes = F.array(*(F.array(F.lit(0.0), F.lit(0.0), s % 7 * 0.25 + 2 * k) for k in range(3)))
+    axis = lambda *v: F.array(*map(F.lit, v))
+    shape = F.struct((F.col("s_nationkey") % 3 + 5).alias("rows"), F.lit(6).alias("cols"), axis(1.0, 0.0, 0.0).alias("row_dir"), axis(0.0, 1.0, 0.0).alias("col_dir"), spacing.alias("spacing"), planes.alias("planes"), F.when(s % 4 != 3, F.concat(F.lit("1.2."), (s % 4).cast("string"))).alias("frame_uid"))
+    grids = t.read(spark, d, "supplier").select(s.alias("id"), shape.cast(grid.GRID_TYPE).alias("a"))
+    other = grids.select(F.explode(F.array(F.col("id") - 1, F.col("id") - 4)).alias("id"), F.col("a").alias("b"))
+    return grids.join(other, "id").select("id", grid.same_column(F.col("a"), F.col("b")).alias("same"))
 
 
-@register("fingerprint", "SELECT r_regionkey AS id, '11|50|2.000,1.000|' || printf('%.3f', r_regionkey / 8.0) || '|1.2.3' AS fingerprint FROM region", prelude=False)
+@register("fingerprint", f"""SELECT r_regionkey AS id, '11|50|2.000,1.000|1.000,0.000,0.000|0.000,1.000,0.000|' || array_to_string(list_transform({H}, lambda h: '0.000,' || printf('%.3f', r_regionkey / 8.0) || ',' || printf('%.3f', h)), ';') || '|1.2.3' AS fingerprint FROM region""", prelude=False)
 def fingerprint(spark, d):
-    spacing = ",".join(f"{x:.3f}" for x in L.spacing)
-    text = F.concat_ws("|", F.lit(str(L.rows)), F.lit(str(L.cols)), F.lit(spacing), fn.fixed(F.col("r_regionkey") / 8.0, 3), F.lit(L.frame_uid))
-    return t.read(spark, d, "region").select(F.col("r_regionkey").alias("id"), text.alias("fingerprint"))
+    # regions are five at any size: their grids live on the driver, as grids do
+    grids = {r.r_regionkey: grid.create_grid(L.rows, L.cols, planes=[(0.0, r.r_regionkey / 8, z) for z in t.HEIGHTS], spacing=L.spacing, frame_uid=L.frame_uid) for r in t.read(spark, d, "region").collect()}
+    return spark.createDataFrame([(i, g.fingerprint()) for i, g in grids.items()], "id int, fingerprint string")
 
 
 @register("vector_math", "SELECT p_partkey AS id, round(sqrt(x * x + y * y + 9), 6) AS len, round(2 * x - y + 3.0, 6) AS dot, round(3 * y, 6) AS cx, round(acos(greatest(-1.0, least(1.0, (2 * x - y + 3) / (sqrt(x * x + y * y + 9) * sqrt(6))))), 6) AS angle, floor(x / 3 + 0.5)::BIGINT AS rounded FROM (SELECT p_partkey, p_size::DOUBLE AS x, (p_partkey % 17)::DOUBLE AS y FROM part)", prelude=False)
@@ -385,10 +392,10 @@ ASSOCIATED = """, one AS (SELECT mask_id, contour_no, k AS k_geo FROM cont WHERE
 assoc AS (SELECT mask_id, contour_no, k_geo, CASE WHEN contour_no % 3 = 0 THEN (contour_no + 1) % 7 ELSE k_geo END::INT AS k, contour_no % 3 = 0 AS via_sop, contour_no % 3 = 1 AS unresolved FROM one)"""
 
 
-@register("slice_association", ASSOCIATED + f" SELECT mask_id, contour_no, k, k_geo, via_sop, unresolved, round(abs(({H})[k + 1] - ({H})[k_geo + 1]), 6) AS distance_mm FROM assoc")
+@register("slice_association", ASSOCIATED + f" SELECT mask_id, contour_no, k, k_geo, via_sop, unresolved, round(abs(({H})[k + 1] - ({H})[k_geo + 1]), 6) AS distance_mm, ({THICK})[k + 1]::DOUBLE / 2 AS tolerance_mm FROM assoc")
 def slice_association(spark, d):
     out = contours.associate(t.contours(spark, d), L, t.slices(spark))
-    return rounded(out.select("mask_id", "contour_no", "k", "k_geo", "via_sop", "unresolved", "distance_mm"), "distance_mm")
+    return rounded(out.select("mask_id", "contour_no", "k", "k_geo", "via_sop", "unresolved", "distance_mm", "tolerance_mm"), "distance_mm")
 
 
 @register("association_summary", ASSOCIATED + " SELECT mask_id, count(*) AS contours, count(*) FILTER (via_sop) AS by_sop, count(*) FILTER (NOT via_sop) AS by_geometry, count(*) FILTER (unresolved) AS unresolved, bool_and(via_sop) AS all_by_sop FROM assoc GROUP BY mask_id")
@@ -396,9 +403,11 @@ def association_summary(spark, d):
     return contours.association_summary(contours.associate(t.contours(spark, d), L, t.slices(spark)))
 
 
-@register("contour_census", "SELECT mask_id, count(DISTINCT contour_no) AS contours, count(*) AS points, 0::BIGINT AS xor_contours FROM cont GROUP BY mask_id")
+@register("contour_census", """, ct AS (SELECT mask_id, contour_no, count(*) AS n FROM cont GROUP BY ALL),
+hit AS (SELECT DISTINCT p.contour_no FROM cont p JOIN cont q ON p.contour_no = q.contour_no AND q.i >= p.i + 3 AND p.x = q.x AND p.y = q.y JOIN ct ON ct.contour_no = p.contour_no WHERE q.i - p.i < n - 1 AND n >= 6)
+SELECT mask_id, count(*) AS contours, sum(n)::BIGINT AS points, 0::BIGINT AS xor_contours, count(hit.contour_no) AS exact_revisits, 0::BIGINT AS near_revisits FROM ct LEFT JOIN hit USING (contour_no) GROUP BY mask_id""")
 def contour_census(spark, d):
-    return t.contours(spark, d).groupBy("mask_id").agg(F.count("*").alias("contours"), F.sum(F.size("points")).alias("points"), F.count_if(F.col("geometric_type") == "CLOSEDPLANAR_XOR").alias("xor_contours"))
+    return report.census(t.contours(spark, d))
 
 
 SIDES = """, side AS (SELECT m.*, s, ([-1, 0, 1, 0])[s + 1] AS dr, ([0, 1, 0, -1])[s + 1] AS dc FROM ms m CROSS JOIN range(4) q(s)),
@@ -410,10 +419,10 @@ def vectorize_boundary_edges(spark, d):
     return contours.boundary_edges(t.masks(spark, d)).withColumns({n: F.col(n).cast("double") for n in ("x0", "y0", "x1", "y1")})
 
 
-@register("vectorize_loops", SIDES + " SELECT mask_id, k, count(*) AS vertices FROM sides GROUP BY mask_id, k")
+@register("vectorize_loops", SIDES + f" SELECT mask_id, k, c + ([-0.5, 0.5, 0.5, -0.5])[side + 1]::DOUBLE AS x, 2 * (r + ([-0.5, -0.5, 0.5, 0.5])[side + 1])::DOUBLE AS y, ({H})[k + 1]::DOUBLE AS z FROM sides")
 def vectorize_loops(spark, d):
-    # every boundary side is in one loop, so the vertices of a plane are as many as its sides
-    return contours.vectorize(t.masks(spark, d), L).groupBy("mask_id", "k").agg(F.sum(F.size("points")).alias("vertices"))
+    # every boundary side is in one loop, so the vertices of all loops are the starts of the sides
+    return contours.vectorize(t.masks(spark, d), L).select("mask_id", "k", F.explode("points").alias("p")).select("mask_id", "k", "p.x", "p.y", "p.z")
 
 
 @register("vectorize_roundtrip", "SELECT mask_id, k, r, c FROM ms")

@@ -7,6 +7,7 @@ so a folder of any number of documents is one job; each ``read_*`` gives long ta
 
 from __future__ import annotations
 
+import dataclasses
 import math
 import uuid
 from dataclasses import dataclass, field
@@ -27,6 +28,17 @@ def uid(*parts) -> str:
     return "2.25." + str(uuid.uuid5(uuid.NAMESPACE_OID, "|".join(map(str, parts))).int)
 
 
+def digest(*parts) -> str:
+    """A hash of content: bytes as they are, all else as its text, each with its length."""
+    from hashlib import sha256
+
+    out = sha256()
+    for part in parts:
+        data = part if isinstance(part, bytes) else repr(part).encode()
+        out.update(f"{len(data)}:".encode() + data)
+    return out.hexdigest()
+
+
 def classify(view: View) -> str:
     """structure, dose, segmentation or image."""
     if view.has("StructureSetROISequence"):
@@ -138,7 +150,7 @@ def write_structures(rois: list[Roi], *, shuffle: bool = False, observations: bo
     order = numbered[::-1] if shuffle else numbered
     contour = lambda c: {"ContourGeometricType": c.geometric_type, "NumberOfContourPoints": len(c.points), "ContourData": [x for p in c.points for x in p], "ContourImageSequence": [{"ReferencedSOPClassUID": CT_CLASS, "ReferencedSOPInstanceUID": u} for u in c.sop_refs] or None}
     return encode_file({
-        "SOPClassUID": STRUCTURE_CLASS, "SOPInstanceUID": uid("structures", *((r.name, len(r.contours)) for r in rois)), "Modality": "RTSTRUCT", "StructureSetLabel": "VOXELS",
+        "SOPClassUID": STRUCTURE_CLASS, "SOPInstanceUID": uid("structures", digest(*(dataclasses.astuple(r) for r in rois), shuffle, observations)), "Modality": "RTSTRUCT", "StructureSetLabel": "VOXELS",
         "StructureSetROISequence": [{"ROINumber": n, "ROIName": r.name, "ROINameLength": str(len(r.name)), "ROIGenerationAlgorithm": "AUTOMATIC", "ReferencedFrameOfReferenceUID": r.frame_uid, "ROIVolume": r.volume_cm3} for n, r in numbered],
         "ROIContourSequence": [{"ReferencedROINumber": n, "ContourSequence": [contour(c) for c in r.contours] or None} for n, r in order],
         "RTROIObservationsSequence": [{"ObservationNumber": n, "ReferencedROINumber": n, "RTROIInterpretedType": r.interpreted_type} for n, r in order] if observations else None,
@@ -211,7 +223,7 @@ def write_dose(grid: Grid, stored, *, scaling: float | None = 1.0, units: str =
     steps = offsets if offsets is not None else [p - grid.projections[0] for p in grid.projections]
     kind = ("<i" if signed else "<u") + str(bits // 8)
     return encode_file({
-        "SOPClassUID": DOSE_CLASS, "SOPInstanceUID": uid("dose", grid.fingerprint(), float(stored.sum())), "Modality": "RTDOSE", "FrameOfReferenceUID": grid.frame_uid, "Rows": grid.rows, "Columns": grid.cols, "NumberOfFrames": len(stored), "PixelSpacing": list(grid.spacing), "ImageOrientationPatient": [*grid.row_dir, *grid.col_dir], "ImagePositionPatient": list(grid.planes[0]),
+        "SOPClassUID": DOSE_CLASS, "SOPInstanceUID": uid("dose", digest(dataclasses.astuple(grid), steps, scaling, units, kind, stored.astype(kind).tobytes())), "Modality": "RTDOSE", "FrameOfReferenceUID": grid.frame_uid, "Rows": grid.rows, "Columns": grid.cols, "NumberOfFrames": len(stored), "PixelSpacing": list(grid.spacing), "ImageOrientationPatient": [*grid.row_dir, *grid.col_dir], "ImagePositionPatient": list(grid.planes[0]),
         "GridFrameOffsetVector": steps, "DoseGridScaling": scaling, "DoseUnits": units, "DoseType": "PHYSICAL", "DoseSummationType": "PLAN", "SamplesPerPixel": 1, "PhotometricInterpretation": "MONOCHROME2", "BitsAllocated": bits, "BitsStored": bits, "HighBit": bits - 1, "PixelRepresentation": int(signed), "PixelData": stored.astype(kind).tobytes(),
     }, "OW")
 
@@ -312,6 +324,8 @@ def _frames_of(view: View, kind: str, frames: int, rows: int, cols: int, notes:
         whole, each = -(-frames * area // 8), -(-area // 8)
         if len(pixels) >= whole:
             return np.unpackbits(np.frombuffer(pixels, np.uint8), count=frames * area, bitorder="little").reshape(frames, rows, cols)
+        # whole bytes for each frame are never fewer, so frames that fill them are read as running on:
+        # the order of these checks is fixed by the data model
         if len(pixels) >= frames * each:
             notes.append(Diagnostic("BINARY_FRAMES_BYTE_ALIGNED", "info", "each frame fills whole bytes"))
             return np.unpackbits(np.frombuffer(pixels, np.uint8, frames * each).reshape(frames, each), axis=1, count=area, bitorder="little").reshape(frames, rows, cols)
@@ -438,7 +452,7 @@ def write_segmentation(kind: str, grid: Grid, segments: list[tuple[Segment, obje
     thick = grid.thickness(0) if shape[0] > 1 else 1.0
     group = lambda n, k: {"PlanePositionSequence": [{"ImagePositionPatient": list(grid.planes[k])}], "SegmentIdentificationSequence": None if kind == "LABELMAP" else [{"ReferencedSegmentNumber": n}]}
     return encode_file({
-        "SOPClassUID": SEGMENTATION_CLASS, "SOPInstanceUID": uid("segmentation", kind, grid.fingerprint(), len(body), int(pixels.sum())), "Modality": "SEG", "SamplesPerPixel": 1, "PhotometricInterpretation": "MONOCHROME2", "Rows": grid.rows, "Columns": grid.cols, "NumberOfFrames": len(frames), "BitsAllocated": bits, "BitsStored": bits, "HighBit": bits - 1, "PixelRepresentation": 0, "SegmentationType": kind,
+        "SOPClassUID": SEGMENTATION_CLASS, "SOPInstanceUID": uid("segmentation", digest(kind, dataclasses.astuple(grid), [dataclasses.astuple(s) for s, _ in segments], [(n, k) for n, k, _ in frames], fractional_type, maximum, overlap, body)), "Modality": "SEG", "SamplesPerPixel": 1, "PhotometricInterpretation": "MONOCHROME2", "Rows": grid.rows, "Columns": grid.cols, "NumberOfFrames": len(frames), "BitsAllocated": bits, "BitsStored": bits, "HighBit": bits - 1, "PixelRepresentation": 0, "SegmentationType": kind,
         "SegmentsOverlap": "NO" if kind == "LABELMAP" else overlap or ("NO" if len(segments) == 1 else "UNDEFINED"), "FrameOfReferenceUID": grid.frame_uid or uid("frame", grid.fingerprint()), "ContentLabel": "SEG",
         "SegmentSequence": [{"SegmentNumber": s.number, "SegmentLabel": s.label or f"segment-{s.number}", "SegmentAlgorithmType": s.algorithm_type, "SegmentAlgorithmName": s.algorithm_name, "SegmentedPropertyCategoryCodeSequence": code(s.category, Code("T-D0050", "SRT", "Tissue")), "SegmentedPropertyTypeCodeSequence": code(s.property_type, Code("T-62000", "SRT", "Liver")), "SegmentedPropertyTypeModifierCodeSequence": code(s.modifier, None) or None, "TrackingID": s.tracking_id, "TrackingUID": s.tracking_uid} for s, _ in segments],
         "SharedFunctionalGroupsSequence": [{"PlaneOrientationSequence": [{"ImageOrientationPatient": [*grid.row_dir, *grid.col_dir]}], "PixelMeasuresSequence": [{"PixelSpacing": list(grid.spacing), "SliceThickness": thick, "SpacingBetweenSlices": thick}]}],

@@ -7,6 +7,9 @@ the mean extended price of the line items in a voxel.
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for files that queries write: below ``spark.checkpoint.dir``, which a cluster
+    shares; a session of one process may leave that unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "/tmp/checkpoints/voxelmill"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, r, c, v, n and tax (cents) of the populated voxels: one partial aggregation of four columns."""
     key = [(F.col("l_linenumber") - 1).cast("int").alias("k"), F.round(F.col("l_discount") * 100).cast("int").alias("r"), (F.col("l_quantity") - 1).cast("int").alias("c")]
