@@ -338,6 +338,21 @@ def _frames_of(view: View, kind: str, frames: int, rows: int, cols: int, notes:
     raise errors.MalformedSegmentationError(f"PixelData of {len(pixels)} bytes is too short")
 
 
+def distinct_positions(positions: list, normal) -> list:
+    """Positions in the order of their first one, without those within the tolerance of one kept
+    before. Only kept positions whose projections round to the same or a neighbouring step are
+    compared, so many frames of many planes don't meet all with all."""
+    kept: list = []
+    near: dict[int, list] = {}
+    for p in positions:
+        step = math.floor(v_dot(p, normal) / POSITION_MM)
+        found = (q for s in (step - 1, step, step + 1) for q in near.get(s, ()))
+        if not any(abs(v_dot(v_sub(q, p), normal)) <= POSITION_MM and math.dist(q, p) <= POSITION_MM for q in found):
+            kept.append(p)
+            near.setdefault(step, []).append(p)
+    return kept
+
+
 def parse_segmentation(data: bytes) -> Segmentation:
     view, refuse = View(decode_file(data)), errors.MalformedSegmentationError
     if view.text("SOPClassUID") not in (None, SEGMENTATION_CLASS) and view.text("Modality") != "SEG":
@@ -380,10 +395,7 @@ def parse_segmentation(data: bytes) -> Segmentation:
     declared = {s.number for s in segments}
     if kind != "LABELMAP" and (unknown := [n for n, _ in placed if n not in declared]):
         raise refuse(f"frames name segment {unknown[0]}, which is not declared")
-    normal, distinct = v_unit(v_cross(row, col)), []
-    for _, p in placed:
-        if not any(abs(v_dot(v_sub(q, p), normal)) <= POSITION_MM and math.dist(q, p) <= POSITION_MM for q in distinct):
-            distinct.append(p)
+    distinct = distinct_positions([p for _, p in placed], v_unit(v_cross(row, col)))
     grid = create_grid(rows, cols, planes=distinct, spacing=spacing, row_dir=row, col_dir=col, frame_uid=view.text("FrameOfReferenceUID"))
     pixels = _frames_of(view, kind, frames, rows, cols, notes)
     fractional, maximum = None, None
