@@ -53,12 +53,23 @@ def dense(mask: DataFrame, grid: Grid):
 
 
 def sparse(spark: SparkSession, values, name: str) -> DataFrame:
+    """An array (plane, row, column) of booleans as a mask. The plan holds a row for each plane that
+    has voxels, which tasks take apart."""
     import numpy as np
-    import pyarrow as pa
 
-    at = np.argwhere(values).astype(np.int32)
-    table = pa.table({"mask_id": pa.array([name] * len(at), pa.string())} | {n: pa.array(at[:, i]) for i, n in enumerate(masks.KEY)})
-    return spark.createDataFrame(table) if len(at) else spark.createDataFrame([], "mask_id string, k int, r int, c int")
+    cols, area = values.shape[2], values.shape[1] * values.shape[2]
+
+    def fill(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                r, c = np.divmod(np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8), count=area)).astype(np.int32), np.int32(cols))
+                yield pa.RecordBatch.from_arrays([pa.repeat(name, len(r)), pa.array(np.full(len(r), k, np.int32)), pa.array(r), pa.array(c)], masks.ID)
+
+    planes = [(k, bytearray(np.packbits(values[k]).tobytes())) for k in range(len(values)) if values[k].any()]
+    return spark.createDataFrame(planes, "k int, data binary").mapInArrow(fill, "mask_id string, k int, r int, c int")
 
 
 def structure_to_segmentation(spark: SparkSession, structures: dicom.StructureSet, roi: int | str, grid: Grid, *, number: int = 1, label: str | None = None) -> tuple[bytes, Provenance]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelmill.operators.grid import Grid
-from voxelmill.operators.masks import KEY, NO_VOXELS, listed
+from voxelmill.operators.masks import KEY, NO_VOXELS, inside, linear_index, listed
 
 #: Values are first cut into ranges, so many for each time that they grow by a factor of e; a
 #: quantile needs to order one range only. Up to so many sought ranges (5 MB) are broadcast.
@@ -18,9 +18,12 @@ RANGES_PER_E, FEW_TARGETS = 4096, 100_000
 
 
 def samples(field: DataFrame, masks: DataFrame, grid: Grid) -> DataFrame:
-    """Voxels without a field value give no sample. Grids of one plane have no volumes."""
+    """Voxels without a field value give no sample, nor do voxels off the grid. Grids of one plane
+    have no volumes. The join is on the linear index: one long is hashed and sorted faster than
+    three integers."""
     volume = grid.volume_of(F.col("k"))
-    return masks.join(field.select(*KEY, F.col("v").cast("double").alias("v")), KEY).select("mask_id", "v", volume.alias("vol"))
+    values = field.filter(inside(grid)).select(linear_index(grid).alias("i"), F.col("v").cast("double").alias("v"))
+    return masks.filter(inside(grid)).select("mask_id", "k", linear_index(grid).alias("i")).join(values, "i").select("mask_id", "v", volume.alias("vol"))
 
 
 def _bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -28,25 +31,26 @@ def _bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
     return F.when(span == 0, 0).otherwise(F.least(F.greatest(F.floor((v - lo) / F.when(span != 0, span) * bins), F.lit(0)), F.lit(bins - 1))).cast("int")
 
 
-def _with_range(rows: DataFrame, lo: float | None, hi: float | None) -> DataFrame:
-    if lo is not None and hi is not None:
-        return rows.withColumns({"lo": F.lit(float(lo)), "hi": F.lit(float(hi))})
-    ends = rows.groupBy("mask_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    ends = ends.select("mask_id", F.lit(float(lo)).alias("lo") if lo is not None else "lo", F.lit(float(hi)).alias("hi") if hi is not None else "hi")
-    return rows.join(ends, "mask_id")
+def _beside(table: DataFrame) -> DataFrame:
+    """A table of few rows for each mask, kept (memory and disk) and counted: one of at most
+    ``FEW_TARGETS`` rows is broadcast, a longer one is joined by a shuffle."""
+    kept = table.persist()
+    return F.broadcast(kept) if kept.count() <= FEW_TARGETS else kept
 
 
 def histogram(rows: DataFrame, bins: int, lo: float | None = None, hi: float | None = None) -> DataFrame:
     """mask_id, bin, lo, hi, cnt, vol for every bin, also empty ones. Values outside are clamped to
-    the end bins; the last bin is closed; a range of no width has all in bin 0."""
+    the end bins; the last bin is closed; a range of no width has all in bin 0. The ends of the masks
+    are one pass, the bins another; empty bins come in as rows of nothing, not by a join."""
     if bins < 1:
         raise ValueError("at least one bin is needed")
-    ranged = _with_range(rows, lo, hi)
-    got = ranged.groupBy("mask_id", "lo", "hi", _bin(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin")).agg(F.count("*").alias("cnt"), F.sum("vol").alias("vol"))
-    every = got.select("mask_id", "lo", "hi").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    full = every.join(got.select("mask_id", "bin", "cnt", "vol"), ["mask_id", "bin"], "left")
+    ends = rows.groupBy("mask_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    ends = _beside(ends.select("mask_id", F.lit(float(lo)).alias("lo") if lo is not None else "lo", F.lit(float(hi)).alias("hi") if hi is not None else "hi"))
+    got = rows.join(ends, "mask_id").select("mask_id", "lo", "hi", _bin(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin"), F.lit(1).cast("long").alias("cnt"), "vol")
+    none = ends.select("mask_id", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), F.lit(0).cast("long").alias("cnt"), F.lit(0.0).alias("vol"))
+    full = got.union(none).groupBy("mask_id", "lo", "hi", "bin").agg(F.sum("cnt").alias("cnt"), F.sum("vol").alias("vol"))
     width = (F.col("hi") - F.col("lo")) / bins
-    return full.select("mask_id", "bin", (F.col("lo") + width * F.col("bin")).alias("lo"), (F.col("lo") + width * (F.col("bin") + 1)).alias("hi"), F.coalesce("cnt", F.lit(0)).cast("long").alias("cnt"), F.coalesce("vol", F.lit(0.0)).alias("vol"))
+    return full.select("mask_id", "bin", (F.col("lo") + width * F.col("bin")).alias("lo"), (F.col("lo") + width * (F.col("bin") + 1)).alias("hi"), "cnt", "vol")
 
 
 def sensitivity(rows: DataFrame, thresholds: list[float]) -> DataFrame:
@@ -86,9 +90,9 @@ def value_at(rows: DataFrame, fractions: list[float], names: list[str] | DataFra
     asked = sums.withColumn("fraction", F.explode(F.array(*(F.lit(float(f)) for f in fractions))))
     reached = F.max(F.when(F.col("upto") >= F.col("fraction") * F.col("total"), F.struct("range", F.col("upto") - F.col("vol"))))
     target = asked.groupBy("mask_id", "fraction").agg(reached.alias("hit"), F.min("least").alias("least"), F.max("total").alias("total"))
-    target = target.select("mask_id", "fraction", "least", "total", F.col("hit.range").alias("range"), F.col("hit.col2").alias("before")).persist()
-    sought = F.broadcast(target) if target.count() <= FEW_TARGETS else target
-    values = ranged.join(sought, ["mask_id", "range"]).groupBy("mask_id", "fraction", "before", "total", "v").agg(F.sum("vol").alias("vol"))
+    target = target.select("mask_id", "fraction", "least", "total", F.col("hit.range").alias("range"), F.col("hit.col2").alias("before"))
+    target = _beside(target)
+    values = ranged.join(target, ["mask_id", "range"]).groupBy("mask_id", "fraction", "before", "total", "v").agg(F.sum("vol").alias("vol"))
     running = F.col("before") + F.sum("vol").over(Window.partitionBy("mask_id", "fraction").orderBy(F.desc("v")))
     found = values.withColumn("running", running).groupBy("mask_id", "fraction").agg(F.max(F.when(F.col("running") >= F.col("fraction") * F.col("total"), F.col("v"))).alias("value"), F.min("v").alias("low"))
     out = target.select("mask_id", "fraction", "least").join(found, ["mask_id", "fraction"], "left").select("mask_id", "fraction", F.coalesce("value", "low", "least").alias("value"))
@@ -112,11 +116,12 @@ def cumulative_dvh(rows: DataFrame, bins: int = 256, *, by_width: bool = False)
     volume in bins from i up. The last point is 0 by definition, and a greatest value of 0 or less
     counts as 1. ``by_width`` bins by v / width, as supersampled histograms do."""
     top = rows.groupBy("mask_id").agg(F.max("v").alias("top"), F.sum("vol").alias("total")).withColumn("top", F.when(F.col("top") > 0, F.col("top")).otherwise(1.0))
-    width = F.col("top") / bins
+    top, width = _beside(top), F.col("top") / bins
     raw = F.floor(F.col("v") / width) if by_width else F.floor(F.col("v") / F.col("top") * bins)
-    got = rows.join(top, "mask_id").groupBy("mask_id", F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1)).cast("int").alias("i")).agg(F.sum("vol").alias("v"))
-    every = top.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(bins)))).join(got, ["mask_id", "i"], "left")
-    suffix = F.sum(F.coalesce("v", F.lit(0.0))).over(Window.partitionBy("mask_id").orderBy(F.desc("i")))
+    got = rows.join(top, "mask_id").select("mask_id", "top", "total", F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1)).cast("int").alias("i"), "vol")
+    none = top.select("mask_id", "top", "total", F.explode(F.sequence(F.lit(0), F.lit(bins))).alias("i"), F.lit(0.0).alias("vol"))
+    every = got.union(none).groupBy("mask_id", "top", "total", "i").agg(F.sum("vol").alias("v"))
+    suffix = F.sum("v").over(Window.partitionBy("mask_id").orderBy(F.desc("i")))
     return every.withColumn("vol", F.when(F.col("i") == bins, 0.0).otherwise(suffix)).select("mask_id", "i", (F.col("top") * F.col("i") / bins).alias("dose"), "vol", F.when(F.col("total") > 0, F.col("vol") / F.col("total")).otherwise(0.0).alias("fraction"))
 
 

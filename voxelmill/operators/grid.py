@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -91,11 +93,11 @@ class Grid:
     planes: tuple[Vec3, ...]
     frame_uid: str | None = None
 
-    @property
+    @cached_property
     def normal(self) -> Vec3:
         return v_unit(v_cross(self.row_dir, self.col_dir))
 
-    @property
+    @cached_property
     def projections(self) -> list[float]:
         return [v_dot(p, self.normal) for p in self.planes]
 
@@ -155,9 +157,10 @@ class Grid:
         return "|".join([str(self.rows), str(self.cols), three(self.spacing), three(self.row_dir), three(self.col_dir), ";".join(map(three, self.planes)), self.frame_uid or ""])
 
     def nearest_plane(self, p: Vec3) -> tuple[int, float]:
-        s = v_dot(p, self.normal)
-        k = min(range(len(self.planes)), key=lambda i: abs(self.projections[i] - s))
-        return k, abs(self.projections[k] - s)
+        s, all_ = v_dot(p, self.normal), self.projections
+        at = bisect_left(all_, s)
+        k = min(range(max(at - 1, 0), min(at + 1, len(all_))), key=lambda i: abs(all_[i] - s))
+        return k, abs(all_[k] - s)
 
     def to_patient(self, c: float, r: float, k: int) -> Vec3:
         o, (pr, pc) = self.planes[k], self.spacing

@@ -14,38 +14,53 @@ from voxelmill.operators.masks import ID, KEY, complement, every_voxel, inside,
 NOWHERE = 1e10
 
 
-def min_plus(squares, step: float):
+def min_plus(squares, step: float, within: float = math.inf):
     """For each place of the last axis the least of squares[j] + (step * (i - j))^2. Shifts the
-    whole array by one distance after another until no shift can improve anything."""
+    whole array by one distance after another until no shift can improve anything, or only to
+    values over ``within``."""
     import numpy as np
 
     out = squares.copy()
     for d in range(1, squares.shape[-1]):
         cost = (step * d) ** 2
-        if cost >= out.max():
+        if cost > within or cost >= out.max():
             break
         np.minimum(out[..., d:], squares[..., :-d] + cost, out=out[..., d:])
         np.minimum(out[..., :-d], squares[..., d:] + cost, out=out[..., :-d])
     return out
 
 
-def squared_distances(masks: DataFrame, grid: Grid) -> DataFrame:
-    """mask_id, k, r, c, d2 for every voxel of the grid: the squared distance in mm to the mask.
-    Two passes: within each plane, then through the planes for each row of pixels; each task holds
-    one plane, or one row of all planes. Planes are at their mean distance."""
+def squares_along(seeds, step: float):
+    """For each place of the last axis the squared distance to the nearest seed on its line, by one
+    pass each way (infinite without any)."""
+    import numpy as np
+
+    n = seeds.shape[-1]
+    at = np.arange(n)
+    before = np.maximum.accumulate(np.where(seeds, at, -np.inf), axis=-1)
+    after = np.minimum.accumulate(np.where(seeds, at, np.inf)[..., ::-1], axis=-1)[..., ::-1]
+    return (np.minimum(at - before, after - at) * step) ** 2
+
+
+def squared_distances(masks: DataFrame, grid: Grid, within: float = math.inf) -> DataFrame:
+    """mask_id, k, r, c, d2 for every voxel of the grid whose squared distance in mm to the mask is at
+    most ``within``. Two passes: within each plane, then through the planes for each row of pixels;
+    each task holds one plane, or one row of all planes. Planes are at their mean distance."""
     grid.require_budget()
     rows, cols, planes, (pr, pc) = grid.rows, grid.cols, len(grid.planes), grid.spacing
 
     def in_plane(t):
-        """One row for each row of pixels of a plane, its squared distances as an array."""
+        """One row for each row of pixels of a plane that anything is near, its squared distances as
+        an array."""
         import numpy as np
         import pyarrow as pa
 
-        seed = np.full((rows, cols), np.inf)
-        seed[t.column("r").to_numpy(), t.column("c").to_numpy()] = 0
-        d2 = np.ascontiguousarray(min_plus(np.ascontiguousarray(min_plus(seed, pc).T), pr).T)
-        line = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * cols), pa.array(d2.ravel()))
-        return pa.table({"mask_id": pa.array([t.column("mask_id")[0].as_py()] * rows, pa.string()), "k": pa.array(np.full(rows, t.column("k")[0].as_py(), np.int32)), "r": pa.array(np.arange(rows, dtype=np.int32)), "line": line})
+        seed = np.zeros((rows, cols), bool)
+        seed[t.column("r").to_numpy(), t.column("c").to_numpy()] = True
+        d2 = min_plus(np.ascontiguousarray(squares_along(seed, pc).T), pr, within).T
+        near = np.flatnonzero(d2.min(axis=1) <= within)
+        line = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * cols), pa.array(np.ascontiguousarray(d2[near]).ravel()))
+        return pa.table({"mask_id": pa.repeat(t.column("mask_id")[0], len(near)), "k": pa.repeat(t.column("k")[0], len(near)), "r": pa.array(near.astype(np.int32)), "line": line})
 
     def through(t):
         import numpy as np
@@ -53,10 +68,11 @@ def squared_distances(masks: DataFrame, grid: Grid) -> DataFrame:
 
         lines = np.full((cols, planes), np.inf)
         lines[:, t.column("k").to_numpy()] = t.column("line").combine_chunks().flatten().to_numpy().reshape(-1, cols).T
-        d2 = lines if planes == 1 else min_plus(lines, grid.mean_spacing)
-        c, k = np.divmod(np.arange(cols * planes, dtype=np.int32), planes)
-        n = len(k)
-        return pa.table({"mask_id": pa.array([t.column("mask_id")[0].as_py()] * n, pa.string()), "k": pa.array(k.astype(np.int32)), "r": pa.array(np.full(n, t.column("r")[0].as_py(), np.int32)), "c": pa.array(c.astype(np.int32)), "d2": pa.array(d2.ravel())})
+        d2 = (lines if planes == 1 else min_plus(lines, grid.mean_spacing, within)).ravel()
+        at = np.flatnonzero(d2 <= within)
+        c, k = np.divmod(at.astype(np.int32), np.int32(planes))
+        n = len(at)
+        return pa.table({"mask_id": pa.repeat(t.column("mask_id")[0], n), "k": pa.array(k), "r": pa.repeat(t.column("r")[0], n), "c": pa.array(c), "d2": pa.array(d2[at])})
 
     flat = masks.select(*ID).groupBy("mask_id", "k").applyInArrow(in_plane, "mask_id string, k int, r int, line array<double>")
     return flat.groupBy("mask_id", "r").applyInArrow(through, "mask_id string, k int, r int, c int, d2 double")
@@ -100,7 +116,7 @@ def dilate(masks: DataFrame, grid: Grid, mm: float) -> DataFrame:
     _check(mm)
     offsets = _ball(grid, mm)
     if len(offsets) > BALL:
-        return squared_distances(masks, grid).filter(F.col("d2") <= mm * mm).select(*ID)
+        return squared_distances(masks, grid, mm * mm).select(*ID)
     ball = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(o, ("dk", "dr", "dc"), strict=True))) for o in offsets))
     moved = masks.select(*ID, F.explode(ball).alias("o")).select("mask_id", (F.col("k") + F.col("o.dk")).alias("k"), (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"))
     return moved.filter(inside(grid)).distinct()
@@ -163,7 +179,7 @@ def components(masks: DataFrame, grid: Grid, connectivity: int = 26) -> DataFram
         names, of, sizes = np.unique(root, return_inverse=True, return_counts=True)
         rank = np.empty(len(names), np.int32)
         rank[np.lexsort((names, -sizes))] = np.arange(1, len(names) + 1)
-        out = {"mask_id": pa.array([t.column("mask_id")[0].as_py()] * len(index), pa.string())}
+        out = {"mask_id": pa.repeat(t.column("mask_id")[0], len(index))}
         return pa.table(out | {n: pa.array(x.astype(np.int32)) for n, x in (("k", k), ("r", r), ("c", c), ("label", rank[of]))} | {"size": pa.array(sizes[of].astype(np.int64))})
 
     return masks.select(*ID).groupBy("mask_id").applyInArrow(label, "mask_id string, k int, r int, c int, label int, size long")

@@ -18,16 +18,27 @@ EDGE = 1e-9
 
 
 def from_dense(spark: SparkSession, grid: Grid, values) -> DataFrame:
-    """k, r, c, v (float) of one value for each voxel in plane, row, column order; a list or an array."""
+    """k, r, c, v (float) of one value for each voxel in plane, row, column order; a list or an array.
+    The plan holds a row for each plane, which tasks take apart."""
     import numpy as np
-    import pyarrow as pa
 
     grid.require_budget()
-    flat = np.asarray(values, dtype=np.float32).ravel()
+    flat = np.asarray(values, dtype="<f4").ravel()
     if len(flat) != grid.voxels:
         raise ValueError("one value for each voxel is needed")
-    at = np.stack(np.unravel_index(np.arange(len(flat)), (len(grid.planes), grid.rows, grid.cols))).astype(np.int32)
-    return spark.createDataFrame(pa.table({**{n: at[i] for i, n in enumerate(KEY)}, "v": flat}))
+    area, cols = grid.rows * grid.cols, grid.cols
+
+    def fill(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                r, c = np.divmod(np.arange(area, dtype=np.int32), np.int32(cols))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(area, k, np.int32)), pa.array(r), pa.array(c), pa.array(np.frombuffer(data, "<f4"))], [*KEY, "v"])
+
+    planes = [(k, bytearray(flat[k * area : (k + 1) * area].tobytes())) for k in range(len(grid.planes))]
+    return spark.createDataFrame(planes, "k int, data binary").mapInArrow(fill, "k int, r int, c int, v float")
 
 
 def generated(spark: SparkSession, grid: Grid, make) -> DataFrame:
