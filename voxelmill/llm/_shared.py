@@ -52,6 +52,16 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     return docs.select("*", F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")).alias(name))
 
 
+#: Up to so many rows of ids and spans travel to all tasks (50 to 100 MB).
+SMALL_ROWS = 500_000
+
+
+def small_side(table: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A settled ``table`` for the small side of a join: broadcast if it is counted to have at most
+    ``rows`` rows; a longer one is joined by a shuffle."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 #: Keys that more rows share than this, and than one row in HOT_SHARE, are joined apart from others.
 HOT_ROWS, HOT_SHARE = 2000, 1000
 

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxelmill.llm._shared import HOT_ROWS, Taken, fresh, join_counted, numbered, settle, text_or_empty
+from voxelmill.llm._shared import HOT_ROWS, Taken, fresh, join_counted, numbered, settle, small_side, text_or_empty
 
 #: The patterns of the base kinds, in the order of their kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -133,6 +133,7 @@ def redact(docs: DataFrame, *, mask: str = "[SECRET]", **options) -> DataFrame:
     marked = numbered(docs, row)
     found = find_secrets(marked, key=row, **options)
     live = found.select(F.col("key").alias(found_), F.filter("spans", lambda s: s["live"]).alias(spans)).filter(F.size(spans) > 0)
+    live = small_side(settle(live, "live_secrets"))
     joined = marked.join(live, F.col(row) == F.col(found_), "left")
     # from left to right; a span that starts inside the one before only adds what sticks out
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
