@@ -38,22 +38,35 @@ def nonnegative_least_squares(a, b, tolerance: float = 1e-7):
     lowers the residual; it ends when none of the columns can, or a round gains no more."""
     import numpy as np
 
-    gram, target = a.T @ a, a.T @ b
+    # sums instead of products of matrices: a library that spreads those over threads makes them
+    # spin, which costs more than the work
+    target = (a * b[:, None]).sum(axis=0)
     x, passive = np.zeros(a.shape[1]), np.zeros(a.shape[1], dtype=bool)
+    gram: dict = {}
+
+    def gram_of(chosen):
+        """The rows of a'a of some columns; a column has few entries, so each is a sum of few rows."""
+        for j in chosen.tolist():
+            if j not in gram:
+                rows = np.flatnonzero(a[:, j])
+                gram[j] = (a[rows] * a[rows, j][:, None]).sum(axis=0)
+        return np.array([gram[j] for j in chosen.tolist()]).reshape(-1, len(x))
 
     def solve(chosen):
         k = np.flatnonzero(chosen)
         s = np.zeros(len(x))
-        s[k] = np.linalg.solve(gram[np.ix_(k, k)] + 1e-9 * np.eye(len(k)), target[k])
+        s[k] = np.linalg.solve(gram_of(k)[:, k] + 1e-9 * np.eye(len(k)), target[k])
         return s
 
     best = np.inf
     while True:
-        residual = x @ gram @ x - 2 * (target @ x)
+        used = np.flatnonzero(x)
+        product = (gram_of(used) * x[used][:, None]).sum(axis=0)
+        residual = (x * (product - 2 * target)).sum()
         if not residual < best - 1e-12 * (1 + abs(residual)):
             break
         best = residual
-        gradient = np.where(passive, -np.inf, target - gram @ x)
+        gradient = np.where(passive, -np.inf, target - product)
         j = int(np.argmax(gradient))
         if gradient[j] <= tolerance * (1 + abs(target).max()):
             break
