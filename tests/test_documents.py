@@ -207,6 +207,25 @@ def test_arriving_documents(spark, tmp_path):
     assert dicom.scan_files(spark, str(tmp_path / "in")).count() == 3
 
 
+def test_identifiers_depend_on_all_content():
+    """Two documents that differ anywhere have different UIDs; the same one written again has its own."""
+    from voxelmill.sources.codec import View, decode_file
+
+    uid = lambda data: View(decode_file(data)).text("SOPInstanceUID")
+    grid = uniform_grid(2, 3, 2)
+    roi = lambda x: [dicom.Roi(0, "a", [dicom.Contour("CLOSED_PLANAR", [(0.0, 0.0, 0.0), (x, 0.0, 0.0), (0.0, 4.0, 0.0)])])]
+    stored = np.arange(12).reshape(2, 2, 3)
+    mask = stored > 5
+    segment = lambda v, **kw: dicom.write_segmentation("BINARY", grid, [(dicom.Segment(1, "s"), v)], **kw)
+    for make, other in (
+        (lambda: dicom.write_structures(roi(4.0)), dicom.write_structures(roi(5.0))),
+        (lambda: dicom.write_dose(grid, stored), dicom.write_dose(grid, stored[:, :, ::-1])),
+        (lambda: dicom.write_dose(grid, stored), dicom.write_dose(grid, stored, scaling=2.0)),
+        (lambda: segment(mask), segment(mask[::-1])),
+    ):
+        assert make() == make() and uid(make()) != uid(other)
+
+
 # --- the library as a whole ------------------------------------------------------------------
 
 

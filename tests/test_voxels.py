@@ -115,6 +115,15 @@ def test_quantile_equals_the_ordered_walk(spark, pairs, fraction):
     assert dose.value_at(rows, [fraction]).first().value == expected
 
 
+def test_an_outlier_does_not_widen_the_ranges(spark):
+    """With one value a million times the others, a quantile still orders few of them."""
+    rows = spark.range(20_000).select(F.lit("m").alias("mask_id"), F.when(F.col("id") == 0, 1e9).otherwise(40 + F.col("id") / 1000.0).alias("v"), F.lit(1.0).alias("vol"))
+    values = sorted([1e9, *(40 + i / 1000 for i in range(1, 20_000))], reverse=True)
+    assert {r.fraction: r.value for r in dose.value_at(rows, [0.02, 0.5, 0.95]).collect()} == {f: values[int(f * 20_000) - 1] for f in (0.02, 0.5, 0.95)}
+    most = rows.groupBy(dose.value_range(F.col("v"))).count().agg(F.max("count")).first()[0]
+    assert most < 200
+
+
 def test_constant_values_fall_in_the_first_bin(spark):
     rows = spark.createDataFrame([("m", 3.0, 1.0)] * 4, "mask_id string, v double, vol double")
     assert [r.cnt for r in dose.histogram(rows, 3).orderBy("bin").collect()] == [4, 0, 0]
@@ -184,6 +193,30 @@ def test_set_algebra(spark):
     assert (o.n_a, o.n_b, o.n_both, o.disagreement) == (3, 3, 1, 4) and o.dice == pytest.approx(1 / 3)
 
 
+def test_masks_of_different_grids_do_not_meet(spark):
+    a, g, other = mask(spark, [(0, 0, 0)]), uniform_grid(4, 4, 3), uniform_grid(4, 4, 3, origin=(2, 0, 0))
+    for f in (masks.union, masks.intersection, masks.subtract, masks.xor, masks.overlap):
+        with pytest.raises(errors.GridMismatchError):
+            f(a, g, a, other)
+    assert masks.union(a, g, a, other, Tolerance(position_mm=3)).count() == 1
+
+
+def test_masks_without_voxels(spark):
+    g, none = uniform_grid(3, 3, 2), masks.empty(spark)
+    assert masks.complement(none, g, ["x"]).count() == g.voxels
+    assert {x.v for x in morphology.distance_transform(none, g, names=["x"]).collect()} == {np.float32(morphology.NOWHERE)}
+    o = masks.overlap(none, g, none, g, names=["x"]).first()
+    assert (o.n_a, o.n_b, o.dice, o.disagreement) == (0, 0, 1, 0)
+    assert masks.bounding_box(none, ["x"]).first().k_min is None
+    assert masks.value(mask(spark, [(1, 2, 0)]), g, 0, 2, 1).first().value == 1
+    with pytest.raises(ValueError):
+        masks.crop(none, g)
+    with pytest.raises(IndexError):
+        masks.plane(none, g, 2)
+    with pytest.raises(Exception, match="INDETERMINATE"):
+        masks.centroid(none, g, ["x"]).collect()
+
+
 def test_measures(spark):
     g = create_grid(4, 4, planes=[(0, 0, z) for z in (0, 1, 6)])
     c = masks.centroid(mask(spark, [(1, 1, 0), (1, 1, 1)]), g).first()

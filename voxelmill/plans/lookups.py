@@ -40,9 +40,10 @@ def distance_of_empty(spark, d):
     return out.groupBy("mask_id").agg(F.count("*").alias("voxels"), F.min("v").cast("double").alias("least"), F.max("v").cast("double").alias("greatest"))
 
 
-@register("box_of_empty", "SELECT 'A' AS mask_id, min(k) AS k_min, max(k) AS k_max, min(r) AS r_min, max(r) AS r_max, min(c) AS c_min, max(c) AS c_max FROM a UNION ALL SELECT 'none', NULL, NULL, NULL, NULL, NULL, NULL")
+@register("box_of_empty", "SELECT 'A' AS mask_id, min(k) AS k_min, max(k) AS k_max, min(r) AS r_min, max(r) AS r_max, min(c) AS c_min, max(c) AS c_max FROM a UNION ALL SELECT 'none', -1, -1, -1, -1, -1, -1")
 def box_of_empty(spark, d):
-    return masks.bounding_box(t.mask(spark, d, "A"), NAMES)
+    # nulls are shown as -1
+    return masks.bounding_box(t.mask(spark, d, "A"), NAMES).na.fill(-1)
 
 
 @register("crop_to_box", ", box AS (SELECT min(k) AS k0, min(r) AS r0, min(c) AS c0 FROM ms) SELECT mask_id, (k - k0)::INT AS k, (r - r0)::INT AS r, (c - c0)::INT AS c, c::DOUBLE AS x FROM ms, box")
@@ -123,12 +124,12 @@ def vector_sums(spark, d):
     return rounded(out, "nx", "far")
 
 
-@register("decimal_strings", "SELECT o_orderkey AS id, i::INT AS i, CASE WHEN i = 2 THEN NULL ELSE round(([o_totalprice, o_custkey / 8.0, 0])[i + 1], 4) END AS number FROM orders CROSS JOIN range(3) q(i)", prelude=False)
+@register("decimal_strings", "SELECT o_orderkey AS id, i::INT AS i, CASE WHEN i = 2 THEN -1 ELSE round(([o_totalprice, o_custkey / 8.0, 0])[i + 1], 4) END AS number FROM orders CROSS JOIN range(3) q(i)", prelude=False)
 def decimal_strings(spark, d):
     price = F.format_string("%.4f", F.col("o_totalprice").cast("double"))
     text = F.concat(price, F.lit("\\ "), F.format_string("%.4f", F.col("o_custkey") / 8.0), F.lit(" \\none"))
     out = t.read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.posexplode(fn.numbers(text)).alias("i", "number"))
-    return rounded(out, "number", digits=4)
+    return rounded(out.na.fill(-1.0, ["number"]), "number", digits=4)
 
 
 # --- dose queries ----------------------------------------------------------------------------
@@ -253,14 +254,14 @@ def structure_plane(spark, d):
 # --- metadata --------------------------------------------------------------------------------
 
 
-@register("structure_metadata", """SELECT (n_nationkey + 1)::INT AS number, n_name || CASE WHEN n_nationkey % 3 = 0 THEN ' ' ELSE '' END AS name, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey / 4.0 END::DOUBLE AS volume_cm3,
-CASE WHEN n_nationkey % 5 = 0 THEN '1.2.' || n_regionkey END AS frame_uid, CASE WHEN n_nationkey % 4 = 0 THEN 'PTV' ELSE 'ORGAN' END AS interpreted_type, 1::BIGINT AS namesakes FROM nation""", prelude=False)
+@register("structure_metadata", """SELECT (n_nationkey + 1)::INT AS number, n_name || CASE WHEN n_nationkey % 3 = 0 THEN ' ' ELSE '' END AS name, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey / 4.0 ELSE -1 END::DOUBLE AS volume_cm3,
+CASE WHEN n_nationkey % 5 = 0 THEN '1.2.' || n_regionkey ELSE '' END AS frame_uid, CASE WHEN n_nationkey % 4 = 0 THEN 'PTV' ELSE 'ORGAN' END AS interpreted_type, 1::BIGINT AS namesakes FROM nation""", prelude=False)
 def structure_metadata(spark, d):
     nations = t.read(spark, d, "nation").orderBy("n_nationkey").collect()
     rois = [dicom.Roi(0, n.n_name + " " * (n.n_nationkey % 3 == 0), [dicom.Contour("POINT", [(1.0, 2.0, 3.0)])], "PTV" if n.n_nationkey % 4 == 0 else "ORGAN", n.n_nationkey / 4 if n.n_nationkey % 2 == 0 else None, f"1.2.{n.n_regionkey}" if n.n_nationkey % 5 == 0 else None) for n in nations]
     got = dicom.parse_structures(dicom.write_structures(rois, shuffle=True))
     found = [got.roi(i) for i in got.numbers()]
-    return spark.createDataFrame([(r.number, r.name, r.volume_cm3, r.frame_uid, r.interpreted_type, len(got.by_name(n))) for r, n in zip(found, got.names(), strict=True)], "number int, name string, volume_cm3 double, frame_uid string, interpreted_type string, namesakes long")
+    return spark.createDataFrame([(r.number, r.name, -1.0 if r.volume_cm3 is None else r.volume_cm3, r.frame_uid or "", r.interpreted_type, len(got.by_name(n))) for r, n in zip(found, got.names(), strict=True)], "number int, name string, volume_cm3 double, frame_uid string, interpreted_type string, namesakes long")
 
 
 @register("dose_metadata", """SELECT 'dose' || r_regionkey AS doc, CASE WHEN r_regionkey = 1 THEN 'RELATIVE' ELSE 'GY' END AS units, (0.5 + r_regionkey)::DOUBLE AS scaling, 'PHYSICAL' AS dose_type, 'PLAN' AS summation,
@@ -379,6 +380,32 @@ def sparse_frames(spark, d):
     return spark.createDataFrame([(s.number, s.frame_count, int(seg.mask(s.number).sum())) for s in seg.segments], "segment int, frames long, voxels long")
 
 
+# --- many documents at once ------------------------------------------------------------------
+
+
+@register("written_segmentations", "SELECT 'plane' || k % 2 AS doc, row_number() OVER (PARTITION BY k % 2, k, r, c ORDER BY mask_id) > 0 AS there, dense_rank() OVER (PARTITION BY k % 2 ORDER BY mask_id)::INT AS segment, k, r, c FROM ms")
+def written_segmentations(spark, d):
+    rows = t.masks(spark, d).withColumn("doc", F.concat(F.lit("plane"), (F.col("k") % 2).cast("string")))
+    back = dicom.read_masks(dicom.write_segmentations(rows, L))
+    return back.select("doc", F.lit(True).alias("there"), F.substring_index("mask_id", "#", -1).cast("int").alias("segment"), "k", "r", "c")
+
+
+@register("written_doses", "SELECT doc, k, r, c, round(floor(v / 100 / scale * 2 + 0.5) * 0.5, 4) AS v FROM vox CROSS JOIN (SELECT unnest(['one', 'two']) AS doc, unnest([1, 2]) AS scale)")
+def written_doses(spark, d):
+    both = t.field(spark, d).select(F.explode(F.array(F.struct(F.lit("one").alias("doc"), F.lit(1).alias("scale")), F.struct(F.lit("two").alias("doc"), F.lit(2).alias("scale")))).alias("s"), "k", "r", "c", "v")
+    files = dicom.write_doses(both.select("s.doc", "k", "r", "c", (F.col("v") / 100 / F.col("s.scale")).alias("v")), L, scaling=0.5)
+    present = t.field(spark, d).select("k", "r", "c")
+    return rounded(dicom.read_doses(files).join(present, masks.KEY, "left_semi").select("doc", "k", "r", "c", F.col("v").cast("double").alias("v")), "v", digits=4)
+
+
+@register("written_structures", "SELECT 'set' || contour_no % 3 AS doc, mask_id AS name, count(DISTINCT contour_no) AS contours, count(*) AS points, round(sum(x), 4) AS xs FROM cont GROUP BY ALL")
+def written_structures(spark, d):
+    files = dicom.write_structure_sets(t.contours(spark, d).withColumn("doc", F.concat(F.lit("set"), (F.col("contour_no") % 3).cast("string")))).persist()
+    names = dicom.read_rois(files).select("mask_id", "name")
+    sums = dicom.read_contours(files).groupBy("doc", "mask_id").agg(F.count("*").alias("contours"), F.sum(F.size("points")).alias("points"), F.sum(F.aggregate("points", F.lit(0.0), lambda a, p: a + p["x"])).alias("xs"))
+    return rounded(sums.join(names, "mask_id").select("doc", "name", "contours", "points", "xs"), "xs", digits=4)
+
+
 # --- reports ---------------------------------------------------------------------------------
 
 
@@ -395,7 +422,7 @@ SLICES = "WITH s AS (SELECT l_linenumber AS segment, l_suppkey % 50 + l_linenumb
 
 @register("slice_comparison", SLICES + """, b AS (SELECT segment, z + 0.0001 AS z, sum_b AS checksum, n_b AS nonzero FROM s WHERE segment < 7 AND (l_mod(z) <> 3) AND n_b > 0),
 m AS (SELECT s.segment, s.z, s.nonzero, s.checksum = b.checksum AND s.nonzero = b.nonzero AS same, b.segment IS NOT NULL AS both FROM s LEFT JOIN b ON b.segment = s.segment AND floor(b.z * 1000 + 0.5) = floor(s.z * 1000 + 0.5))
-SELECT m.segment, n.total IS NOT NULL AS matched, (sum(nonzero) - any_value(n.total))::BIGINT AS count_delta, count(*) FILTER (m.both) AS checked, count(*) FILTER (m.both AND same) AS exact, count(*) FILTER (NOT m.both AND nonzero > 0) AS missing, round(min(CASE WHEN m.both AND NOT same THEN z END), 6) AS first_mismatch_z
+SELECT m.segment, n.total IS NOT NULL AS matched, coalesce(sum(nonzero) - any_value(n.total), -1)::BIGINT AS count_delta, count(*) FILTER (m.both) AS checked, count(*) FILTER (m.both AND same) AS exact, count(*) FILTER (NOT m.both AND nonzero > 0) AS missing, round(coalesce(min(CASE WHEN m.both AND NOT same THEN z END), -1), 6) AS first_mismatch_z
 FROM m LEFT JOIN (SELECT segment, sum(nonzero) AS total FROM b GROUP BY 1) n USING (segment) GROUP BY m.segment, n.total""".replace("l_mod(z)", "(floor(z)::BIGINT % 11)"), prelude=False)
 def slice_comparison(spark, d):
     keep = F.expr("l_quantity > 1 or l_suppkey % 2 = 0")
@@ -403,7 +430,7 @@ def slice_comparison(spark, d):
     rows = t.read(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("segment"), z).agg(F.sum("l_partkey").alias("checksum"), F.count("*").alias("nonzero"), F.sum(F.when(keep, F.col("l_partkey"))).alias("sum_b"), F.count_if(keep).alias("n_b"))
     ours = rows.select("segment", "z", "checksum", "nonzero")
     theirs = rows.filter("segment < 7 and floor(z) % 11 <> 3 and n_b > 0").select("segment", (F.col("z") + 0.0001).alias("z"), F.col("sum_b").alias("checksum"), F.col("n_b").alias("nonzero"))
-    return rounded(report.compare_slices(ours, theirs), "first_mismatch_z")
+    return rounded(report.compare_slices(ours, theirs).na.fill(-1, ["count_delta", "first_mismatch_z"]), "first_mismatch_z")
 
 
 @register("flagged_metrics", """, s AS (SELECT mask_id, max(v) AS mx, sum(vol) AS vo FROM ms GROUP BY 1), o AS (SELECT lower(mask_id) AS name, unnest(['mx', 'vo']) AS metric, unnest([mx, vo]) AS ours, unnest([mx * 1.01, vo * 1.05]) AS theirs FROM s)

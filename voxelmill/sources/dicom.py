@@ -570,3 +570,65 @@ def read_masks(files: DataFrame) -> DataFrame:
         return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if sum(p.num_rows for p in parts) else parts[0]
 
     return _rows(files, MASKS, parse)
+
+
+# --- many documents written at once: each in a task of its own, nothing on the driver ----------
+
+WRITTEN = "doc string, content binary"
+
+
+def _document(doc: str, content: bytes):
+    import pyarrow as pa
+
+    return pa.table({"doc": pa.array([doc], pa.string()), "content": pa.array([content], pa.binary())})
+
+
+def write_structure_sets(contours: DataFrame, **options) -> DataFrame:
+    """doc, content of one structure set for each doc of ``contours`` (doc, mask_id, contour_no,
+    geometric_type, points, sop_refs): a ROI for each mask_id, in the order of their names, its
+    contours by number. A task holds the contours of one document."""
+
+    def write(key, t):
+        rois: dict[str, Roi] = {}
+        rows = t.select(["mask_id", "contour_no", "geometric_type", "points", "sop_refs"]).to_pylist()
+        for r in sorted(rows, key=lambda r: (r["mask_id"], r["contour_no"])):
+            rois.setdefault(r["mask_id"], Roi(0, r["mask_id"], [])).contours.append(Contour(r["geometric_type"], [(p["x"], p["y"], p["z"]) for p in r["points"]], r["sop_refs"] or []))
+        return _document(key[0].as_py(), write_structures(list(rois.values()), **options))
+
+    return contours.select("doc", "mask_id", "contour_no", "geometric_type", "points", "sop_refs").groupBy("doc").applyInArrow(write, WRITTEN)
+
+
+def write_doses(fields: DataFrame, grid: Grid, *, scaling: float = 1.0, **options) -> DataFrame:
+    """doc, content of one dose on ``grid`` for each doc of ``fields`` (doc, k, r, c, v): values are
+    stored as multiples of ``scaling``, halves up, voxels without a row as 0. A task holds one dose."""
+    grid.require_budget()
+
+    def write(key, t):
+        import numpy as np
+
+        stored = np.zeros((len(grid.planes), grid.rows, grid.cols), np.int64)
+        at = tuple(t.column(x).to_numpy() for x in ("k", "r", "c"))
+        stored[at] = np.floor(t.column("v").to_numpy().astype(np.float64) / scaling + 0.5)
+        return _document(key[0].as_py(), write_dose(grid, stored, scaling=scaling, **options))
+
+    return fields.select("doc", "k", "r", "c", "v").groupBy("doc").applyInArrow(write, WRITTEN)
+
+
+def write_segmentations(masks: DataFrame, grid: Grid, *, kind: str = "BINARY", **options) -> DataFrame:
+    """doc, content of one segmentation on ``grid`` for each doc of ``masks`` (doc, mask_id, k, r, c): a
+    segment for each mask_id, numbered from 1 in the order of their names. A task holds one document,
+    a byte for each voxel and segment."""
+    grid.require_budget()
+
+    def write(key, t):
+        import numpy as np
+
+        values: dict[str, object] = {}
+        names = t.column("mask_id").to_pylist()
+        for name in sorted(set(names)):
+            own = np.array([n == name for n in names])
+            values[name] = np.zeros((len(grid.planes), grid.rows, grid.cols), bool)
+            values[name][tuple(t.column(x).to_numpy()[own] for x in ("k", "r", "c"))] = True
+        return _document(key[0].as_py(), write_segmentation(kind, grid, [(Segment(i, name), v) for i, (name, v) in enumerate(values.items(), 1)], **options))
+
+    return masks.select("doc", "mask_id", "k", "r", "c").groupBy("doc").applyInArrow(write, WRITTEN)
