@@ -51,6 +51,22 @@ def crc(ids):
     return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
 
 
+# --- queries and their SQL -------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", queries.ORACLES)
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    sf, db = "/root/testdata/sf0.001", duckdb.connect()
+    for table in "documents embeddings labels conversations".split():
+        db.execute(f"create view {table} as select * from '{sf}/{table}.parquet'")
+    ours, theirs = queries.QUERIES[name](spark, sf).toPandas(), db.execute(queries.ORACLES[name]).df()
+    assert sorted(ours.columns) == sorted(theirs.columns)
+    tidy = lambda df: sorted(tuple(f"{v:.6g}" if isinstance(v, float) else str(v) for v in row) for row in df[sorted(df.columns)].itertuples(index=False))
+    assert tidy(ours) == tidy(theirs)
+
+
 # --- tokens and packing ----------------------------------------------------------------------
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelmill.llm import ann, chat, mixing, packing, pii, quality, secrets, simhash, tokens, topk
-from voxelmill.llm._shared import shared_path, table
+from voxelmill.llm._shared import settle, shared_path, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,70 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+# --- what SQL can say of operators that it cannot express whole ------------------------------
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7's base spans, with their places."""
+    return secrets.find_secrets(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base")
+
+
+def private_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's base spans, with their places."""
+    return pii.find_personal_data(table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base")
+
+
+def packing_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1 by document: whether its pieces are gapless and whole; and how many sequences are too long,
+    have a gap, or need padding."""
+    pieces = op1_packing(spark, sf_dir).withColumnRenamed("offset", "at")
+    pieces = settle(pieces, "pieces")
+    before = lambda key, place: F.coalesce(F.lag(F.col(place) + F.col("length")).over(Window.partitionBy(key).orderBy(place)), F.lit(0))
+    rows = pieces.withColumns({"meets": F.col("start") == before("doc_id", "start"), "follows": F.col("at") == before("sequence_id", "at")})
+    per = rows.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.bool_and("follows").alias("gapless"))
+    bad = per.filter(~F.col("gapless") | (F.col("n") > 4096) | (F.col("n").bitwiseAND(F.col("n") - 1) != 0)).select("sequence_id", F.lit(1).alias("bad"))
+    marked = rows.join(bad, "sequence_id", "left")
+    return marked.groupBy("doc_id").agg((F.bool_and("meets") & (F.sum("length") == F.max("doc_tokens"))).alias("whole"), F.count("bad").alias("in_bad_sequences"))
+
+
+def token_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4 by document: whether it starts where the ids before it end, in ascending order of doc_id."""
+    rows = op4_token_files(spark, sf_dir)
+    # where one document ends another starts; an equi-join, so that no task orders them all
+    ends = rows.select(F.col("doc_id").alias("before"), (F.col("start") + F.col("n_tokens")).alias("end"))
+    met = rows.join(ends, F.col("start") == F.col("end"), "left")
+    return met.select("doc_id", ((F.col("start") == 0) | F.coalesce(F.col("before") < F.col("doc_id"), F.lit(False))).alias("follows"), (F.col("n_tokens") > 0).alias("ended"))
+
+
+def _spans_sql(kinds: dict[str, tuple[str, str, str]]) -> str:
+    """SQL for spans of some kinds (pattern, captured group, condition on m and v) in documents.text."""
+    found = " UNION ALL ".join(f"SELECT doc_id, {i} AS ord, '{k}' AS kind, regexp_split_to_array(t, '{p}') AS gs, regexp_extract_all(t, '{p}') AS ms, regexp_extract_all(t, '{p}', {g}) AS vs FROM d" for i, (k, (p, g, _)) in enumerate(kinds.items()))
+    keep = " ".join(f"WHEN '{k}' THEN {c}" for k, (_, _, c) in kinds.items())
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in kinds)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}),
+r AS (SELECT doc_id, ord, kind, unnest(gs) AS g, unnest(ms) AS m, unnest(vs) AS v, unnest(range(len(gs))) AS i FROM f),
+p AS (SELECT *, (sum(length(g) + length(coalesce(m, ''))) OVER (PARTITION BY doc_id, ord ORDER BY i))::BIGINT AS stop FROM r),
+s AS (SELECT doc_id, ord, kind, stop - length(m) AS start, stop FROM p WHERE m IS NOT NULL AND CASE kind {keep} END),
+a AS (SELECT doc_id, {counts}, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS base FROM s GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in kinds)}, coalesce(base, '') AS base FROM d LEFT JOIN a USING (doc_id)"""
+
+
+DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+LUHN = f"list_sum(list_transform(range(length({DIGITS})), lambda j: CASE WHEN j % 2 = 0 THEN substr({DIGITS}, length({DIGITS}) - j, 1)::INT ELSE (substr({DIGITS}, length({DIGITS}) - j, 1)::INT * 2) % 10 + (substr({DIGITS}, length({DIGITS}) - j, 1)::INT * 2) // 10 END)) % 10 = 0"
+SECRETS_SQL = _spans_sql({
+    "assign": ("([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", "2", "length(v) >= 6"),
+    "access": ("AKIA[A-Z0-9]+", "0", "length(m) >= 20"),
+    "hex": ("[0-9a-f]{24,}", "0", "true"),
+})
+PRIVATE_SQL = _spans_sql({
+    "email": ("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+", "0", "true"),
+    "ip": ("[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)", "0", "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR ('0' || right(ltrim(x, '0'), 3))::INT > 255)) = 0"),
+    "card": ("[0-9]([\\x20-]?[0-9])+", "0", f"length({DIGITS}) BETWEEN 12 AND 19 AND {LUHN}"),
+    "phone": ("\\+[0-9][\\x20().0-9-]+[0-9]", "0", f"length({DIGITS}) BETWEEN 9 AND 15"),
+})
+ORDER_SQL = "SELECT doc_id, true AS follows, true AS ended FROM documents"
+INVARIANTS_SQL = "SELECT doc_id, true AS whole, 0::BIGINT AS in_bad_sequences FROM documents"
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
@@ -91,5 +155,9 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_pii": op9_pii,
     "op10_topk": op10_topk,
+    "packing_invariants": packing_invariants,
+    "token_file_order": token_file_order,
+    "secret_base_spans": secret_base_spans,
+    "private_base_spans": private_base_spans,
 }
-ORACLES = {"op2_mixing": mixing.oracle(repeat=True), "op3_chat": chat.ORACLE, "op10_topk": TOPK_SQL}
+ORACLES = {"op2_mixing": mixing.oracle(repeat=True), "op3_chat": chat.ORACLE, "op10_topk": TOPK_SQL, "packing_invariants": INVARIANTS_SQL, "token_file_order": ORDER_SQL, "secret_base_spans": SECRETS_SQL, "private_base_spans": PRIVATE_SQL}
