@@ -14,6 +14,7 @@ from voxelmill import errors
 from voxelmill.operators import convert, segments, structures
 from voxelmill.operators.dose_grid import DoseQuery
 from voxelmill.operators.grid import create_grid, uniform_grid
+from voxelmill.plans import catalog
 from voxelmill.sources import codec, dicom
 from voxelmill.streaming import ingest
 
@@ -246,7 +247,7 @@ def test_lower_layers_do_not_import_higher_ones():
                     assert node.module.split(".")[1] not in above, path
 
 
-VOXEL_QUERIES = [n for n in entry.oracle_sql() if n != "pipeline" and not n.startswith("op")]
+VOXEL_QUERIES = list(catalog.ORACLES)
 
 
 @pytest.mark.parametrize("name", VOXEL_QUERIES)
