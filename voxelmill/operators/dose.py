@@ -31,13 +31,6 @@ def _bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
     return F.when(span == 0, 0).otherwise(F.least(F.greatest(F.floor((v - lo) / F.when(span != 0, span) * bins), F.lit(0)), F.lit(bins - 1))).cast("int")
 
 
-def _beside(table: DataFrame) -> DataFrame:
-    """A table of few rows for each mask, kept (memory and disk) and counted: one of at most
-    ``FEW_TARGETS`` rows is broadcast, a longer one is joined by a shuffle."""
-    kept = table.persist()
-    return F.broadcast(kept) if kept.count() <= FEW_TARGETS else kept
-
-
 def histogram(rows: DataFrame, bins: int, lo: float | None = None, hi: float | None = None) -> DataFrame:
     """mask_id, bin, lo, hi, cnt, vol for every bin, also empty ones. Values outside are clamped to
     the end bins; the last bin is closed; a range of no width has all in bin 0. The ends of the masks
@@ -45,7 +38,7 @@ def histogram(rows: DataFrame, bins: int, lo: float | None = None, hi: float | N
     if bins < 1:
         raise ValueError("at least one bin is needed")
     ends = rows.groupBy("mask_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    ends = _beside(ends.select("mask_id", F.lit(float(lo)).alias("lo") if lo is not None else "lo", F.lit(float(hi)).alias("hi") if hi is not None else "hi"))
+    ends = ends.select("mask_id", F.lit(float(lo)).alias("lo") if lo is not None else "lo", F.lit(float(hi)).alias("hi") if hi is not None else "hi")
     got = rows.join(ends, "mask_id").select("mask_id", "lo", "hi", _bin(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin"), F.lit(1).cast("long").alias("cnt"), "vol")
     none = ends.select("mask_id", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), F.lit(0).cast("long").alias("cnt"), F.lit(0.0).alias("vol"))
     full = got.union(none).groupBy("mask_id", "lo", "hi", "bin").agg(F.sum("cnt").alias("cnt"), F.sum("vol").alias("vol"))
@@ -78,8 +71,8 @@ def value_at(rows: DataFrame, fractions: list[float], names: list[str] | DataFra
 
     Sums over value ranges find the range that holds each answer, and only that range is put in
     order: some 2,000 different floats at most, so no task orders a whole structure, nor do outliers
-    widen the ranges. The sums of the ranges are kept, and the samples are read twice; the sought
-    ranges, a row for each mask and fraction, are broadcast if there are few enough.
+    widen the ranges. The samples are read twice. The sought ranges, a row for each mask and fraction,
+    are kept (memory and disk), counted, and broadcast if they are few: so samples aren't shuffled.
     """
     if not all(0 <= f <= 1 for f in fractions):
         raise ValueError("fractions are between 0 and 1")
@@ -91,8 +84,8 @@ def value_at(rows: DataFrame, fractions: list[float], names: list[str] | DataFra
     reached = F.max(F.when(F.col("upto") >= F.col("fraction") * F.col("total"), F.struct("range", F.col("upto") - F.col("vol"))))
     target = asked.groupBy("mask_id", "fraction").agg(reached.alias("hit"), F.min("least").alias("least"), F.max("total").alias("total"))
     target = target.select("mask_id", "fraction", "least", "total", F.col("hit.range").alias("range"), F.col("hit.col2").alias("before"))
-    target = _beside(target)
-    values = ranged.join(target, ["mask_id", "range"]).groupBy("mask_id", "fraction", "before", "total", "v").agg(F.sum("vol").alias("vol"))
+    target = target.persist()
+    values = ranged.join(F.broadcast(target) if target.count() <= FEW_TARGETS else target, ["mask_id", "range"]).groupBy("mask_id", "fraction", "before", "total", "v").agg(F.sum("vol").alias("vol"))
     running = F.col("before") + F.sum("vol").over(Window.partitionBy("mask_id", "fraction").orderBy(F.desc("v")))
     found = values.withColumn("running", running).groupBy("mask_id", "fraction").agg(F.max(F.when(F.col("running") >= F.col("fraction") * F.col("total"), F.col("v"))).alias("value"), F.min("v").alias("low"))
     out = target.select("mask_id", "fraction", "least").join(found, ["mask_id", "fraction"], "left").select("mask_id", "fraction", F.coalesce("value", "low", "least").alias("value"))
@@ -116,7 +109,7 @@ def cumulative_dvh(rows: DataFrame, bins: int = 256, *, by_width: bool = False)
     volume in bins from i up. The last point is 0 by definition, and a greatest value of 0 or less
     counts as 1. ``by_width`` bins by v / width, as supersampled histograms do."""
     top = rows.groupBy("mask_id").agg(F.max("v").alias("top"), F.sum("vol").alias("total")).withColumn("top", F.when(F.col("top") > 0, F.col("top")).otherwise(1.0))
-    top, width = _beside(top), F.col("top") / bins
+    width = F.col("top") / bins
     raw = F.floor(F.col("v") / width) if by_width else F.floor(F.col("v") / F.col("top") * bins)
     got = rows.join(top, "mask_id").select("mask_id", "top", "total", F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1)).cast("int").alias("i"), "vol")
     none = top.select("mask_id", "top", "total", F.explode(F.sequence(F.lit(0), F.lit(bins))).alias("i"), F.lit(0.0).alias("vol"))
