@@ -110,10 +110,10 @@ def segmentation_to_structure(spark: SparkSession, seg: dicom.Segmentation, numb
     rows = loops.orderBy("contour_no").collect()
     made = [dicom.Contour(r.geometric_type, [(p.x, p.y, p.z) for p in r.points]) for r in rows]
     data = dicom.write_structures([dicom.Roi(1, label, made, frame_uid=seg.grid.frame_uid)])
-    if made:
-        back = roi_mask(spark, dicom.parse_structures(data).rois[0], seg.grid).withColumn("mask_id", F.lit("m"))
-        got = masks.overlap(mask, seg.grid, back, seg.grid).first()
-        record.lossy_steps.append({"kind": "vectorize", "voxels_before": int(got.n_a), "voxels_after": int(got.n_b), "disagreement": int(got.disagreement), "dice": float(got.dice)})
-    else:
+    back = roi_mask(spark, dicom.parse_structures(data).rois[0], seg.grid).withColumn("mask_id", F.lit("m"))
+    # named, so that a segment without voxels is measured too
+    got = masks.overlap(mask, seg.grid, back, seg.grid, names=["m"]).first()
+    record.lossy_steps.append({"kind": "vectorize", "voxels_before": int(got.n_a), "voxels_after": int(got.n_b), "disagreement": int(got.disagreement), "dice": float(got.dice)})
+    if not made:
         record.notes.append("the segment has no voxels")
     return data, record
