@@ -25,7 +25,7 @@ def cheap(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["segmentation_to_structure"])
+@pytest.mark.parametrize("name", ["segmentation_to_structure", "supersampled_stats"])
 def test_an_empty_mask_has_its_row(spark, cheap, name):
     rows = entry.queries()[name](spark, cheap).collect()
     assert [tuple(r) for r in rows] == oracle(name, cheap, ["lineitem", "events"]) and len(rows) == 1

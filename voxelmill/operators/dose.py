@@ -99,9 +99,13 @@ def mean_value(rows: DataFrame) -> DataFrame:
     return rows.groupBy("mask_id").agg((F.sum(F.col("v") * F.col("vol")) / F.sum("vol")).alias("mean"))
 
 
-def statistics(rows: DataFrame, parts: int = 1) -> DataFrame:
-    """mask_id, least, greatest and mean value, volume, and voxels (each of ``parts`` samples)."""
-    return rows.groupBy("mask_id").agg(F.min("v").alias("min_value"), F.max("v").alias("max_value"), (F.sum(F.col("v") * F.col("vol")) / F.sum("vol")).alias("mean_value"), F.sum("vol").alias("volume_mm3"), (F.count("*") / parts).cast("long").alias("voxels"))
+def statistics(rows: DataFrame, parts: int = 1, names: list[str] | DataFrame | None = None) -> DataFrame:
+    """mask_id, least, greatest and mean value, volume, and voxels (each of ``parts`` samples). Named
+    masks without samples have no values and 0 voxels."""
+    out = rows.groupBy("mask_id").agg(F.min("v").alias("min_value"), F.max("v").alias("max_value"), (F.sum(F.col("v") * F.col("vol")) / F.sum("vol")).alias("mean_value"), F.sum("vol").alias("volume_mm3"), (F.count("*") / parts).cast("long").alias("voxels"))
+    if names is None:
+        return out
+    return listed(rows, names).join(out, "mask_id", "left").withColumn("voxels", F.coalesce("voxels", F.lit(0).cast("long")))
 
 
 def cumulative_dvh(rows: DataFrame, bins: int = 256, *, by_width: bool = False) -> DataFrame:

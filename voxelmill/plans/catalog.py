@@ -199,7 +199,7 @@ pts AS (SELECT ((k * 11 + r) * 50 + c) * 8 + i * 4 + j * 2 + l AS pid, vol, c +
 , s AS (SELECT coalesce(val, 0.0) AS v, vol FROM pts LEFT JOIN tri USING (pid))
 SELECT 'C' AS mask_id, round(min(v), 4) AS min_value, round(max(v), 4) AS max_value, round(sum(v * vol) / sum(vol), 4) AS mean_value, round(sum(vol), 4) AS volume_mm3, (count(*) / 8)::BIGINT AS voxels FROM s""")
 def supersampled_stats(spark, d):
-    out = dose.statistics(sampling.supersample(t.field(spark, d), L, t.mask(spark, d, "C"), L, 2), parts=8)
+    out = dose.statistics(sampling.supersample(t.field(spark, d), L, t.mask(spark, d, "C"), L, 2), parts=8, names=["C"])
     return rounded(out, "min_value", "max_value", "mean_value", "volume_mm3", digits=4)
 
 
