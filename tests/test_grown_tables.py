@@ -1,10 +1,14 @@
 """What only other tables than the small ones show: masks that become empty, contours of many points,
 and documents that are written and read in the tasks."""
 
+import math
+
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from voxelmill.operators import report
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +33,45 @@ def cheap(tmp_path_factory):
 def test_an_empty_mask_has_its_row(spark, cheap, name):
     rows = entry.queries()[name](spark, cheap).collect()
     assert [tuple(r) for r in rows] == oracle(name, cheap, ["lineitem", "events"]) and len(rows) == 1
+
+
+CONTOURS = "mask_id string, contour_no int, geometric_type string, points array<struct<x:double,y:double,z:double>>, sop_refs array<string>"
+
+
+def slow_revisits(points, near_mm=0.05):
+    """exact and near, by all pairs of points."""
+    met = [math.dist(p, q) for i, p in enumerate(points) for j, q in enumerate(points) if 3 <= j - i < len(points) - 1 and p and q]
+    return any(d == 0 for d in met), any(d < near_mm for d in met)
+
+
+def wandering(rng, n, step, flat):
+    """A contour on a lattice of ``step``, moved a little so that it lies across cells."""
+    p = rng.integers(0, 40, (n, 3)) * step + rng.uniform(-1, 1, 3) * 1000
+    if flat:
+        p[:, 2] = 7.0
+    return [tuple(map(float, x)) for x in p]
+
+
+def test_revisits_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    shapes = [wandering(rng, int(rng.integers(1, 60)), float(step), flat) for step in (0.0251, 0.049, 0.05, 0.051, 0.2, 3.0) for flat in (True, False) for _ in range(25)]
+    square = [(0.0, 0.0, 0.0), (9.0, 0.0, 0.0), (9.0, 9.0, 0.0), (0.0, 9.0, 0.0)]
+    shapes += [[], square, [*square, square[0]], [*square[:3], square[0], square[3]], [*square, (0.0, -0.0, 0.0), (5.0, 1.0, 0.0)], [(math.nan, 0.0, 0.0)] * 6, [(math.inf, 0.0, 0.0)] * 6, [None] * 6, [(1.0, 1.0, 1.0)] * 3, [(1.0, 1.0, 1.0)] * 5, [(1e300, 0.0, 0.0), (2e300, 0.0, 0.0)] * 4]
+    rows = [("m", i, "CLOSED_PLANAR", s, []) for i, s in enumerate(shapes)]
+    df = spark.createDataFrame(rows, CONTOURS)
+    got = {r.contour_no: (r.exact, r.near) for r in report.keyholes(df).collect()}
+    want = {i: slow_revisits(s) for i, s in enumerate(shapes)}
+    assert got == want and len(set(want.values())) == 3
+    big = [i for i, s in enumerate(shapes) if len(s) >= 6]
+    row = report.census(df).first()
+    assert (row.contours, row.points, row.xor_contours) == (len(shapes), sum(map(len, shapes)), 0)
+    assert (row.exact_revisits, row.near_revisits) == (sum(want[i][0] for i in big), sum(want[i] == (False, True) for i in big))
+
+
+def test_revisits_are_found_without_a_join(spark):
+    plan = report.census(spark.createDataFrame([("m", 0, "CLOSED_PLANAR", [(0.0, 0.0, 0.0)] * 9, [])], CONTOURS))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    # a contour that stays within one cell takes no time in proportion to its pairs
+    n = 300_000
+    xyz = np.stack([np.arange(n) * 1e-9, np.zeros(n), np.zeros(n)], axis=1)
+    assert [x.tolist() for x in report.revisits(np.zeros(n, np.int64), np.arange(n), np.full(n, n), xyz, 0.05)] == [[False], [True]]

@@ -54,30 +54,101 @@ def compare_slices(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return out.select("segment", F.col("n_b").isNotNull().alias("matched"), (F.col("n_a") - F.col("n_b")).alias("count_delta"), "checked", "exact", "missing", "first_mismatch_z")
 
 
+def revisits(owner, place, size, xyz, near_mm: float):
+    """Two arrays of booleans by owner (numpy): whether a contour comes back to a point exactly, and
+    within ``near_mm``, as ``keyholes`` says. The points of contour ``owner``, of ``size`` points, have
+    their ``place`` in it and the rows ``xyz``.
+
+    Points are sorted, not compared all with all. Of equal points, or those of one cell (whose diagonal
+    is below ``near_mm``), a pair at a fitting distance along the contour is found within three
+    neighbours, or there is none; and then a cell has four points at most, so that the cells around a
+    point cost a bounded number of comparisons."""
+    import numpy as np
+
+    count = int(owner.max()) + 1 if len(owner) else 0
+    exact, near = np.zeros(count, bool), np.zeros(count, bool)
+
+    def pairs(a, b, equal):
+        """Marks the owners of the pairs of rows that fit."""
+        apart = np.abs(place[a] - place[b])
+        fit = (owner[a] == owner[b]) & (apart >= 3) & (apart < size[a] - 1)
+        a, b = a[fit], b[fit]
+        d = xyz[a] - xyz[b]
+        near[owner[a[np.sqrt(d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]) < near_mm]]] = True
+        if equal:
+            exact[owner[a[(d == 0).all(axis=1)]]] = True
+
+    def neighbours(order, equal):
+        for lag in (1, 2, 3):
+            pairs(order[:-lag], order[lag:], equal)
+
+    good = np.isfinite(xyz).all(axis=1)
+    owner, place, size, xyz = owner[good], place[good], size[good], xyz[good] + 0.0
+    neighbours(np.lexsort((place, xyz[:, 2], xyz[:, 1], xyz[:, 0], owner)), True)
+    left = ~near[owner]
+    owner, place, size, xyz = owner[left], place[left], size[left], xyz[left]
+    # 0.52: the diagonal is 0.901 of near_mm, and two cells are more than it
+    cells = np.clip(np.floor(xyz / (0.52 * near_mm)), -(2.0**62), 2.0**62).astype(np.int64).view(np.uint64)
+    # a key that is linear in the cell: equal keys of different cells only cost a comparison
+    factors = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+    key = (cells * factors).sum(axis=1, dtype=np.uint64) + owner.astype(np.uint64) * np.uint64(0x27D4EB2F165667C5)
+    neighbours(np.lexsort((place, key)), False)
+    left = ~near[owner]
+    owner, place, size, xyz, key = owner[left], place[left], size[left], xyz[left], key[left]
+    order = np.argsort(key, kind="stable")
+    owner, place, size, xyz, key = owner[order], place[order], size[order], xyz[order], key[order]
+    flat = [len(key) == 0 or (xyz[:, i] == xyz[0, i]).all() for i in range(3)]
+    steps = [range(1) if f else range(-2, 3) for f in flat]
+    for step in [(i, j, k) for i in steps[0] for j in steps[1] for k in steps[2] if (i, j, k) > (0, 0, 0)]:
+        at = key + (np.array(step, np.int64).view(np.uint64) * factors).sum(dtype=np.uint64)
+        first, last = np.searchsorted(key, at, "left"), np.searchsorted(key, at, "right")
+        n = last - first
+        a = np.repeat(np.arange(len(key)), n)
+        pairs(a, np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n), False)
+    return exact, near
+
+
+def _revisited(contours: DataFrame, near_mm: float, columns: list[str]) -> DataFrame:
+    """``columns`` of each contour with exact and near (see ``keyholes``). A contour is one row, so
+    nothing is joined or shuffled."""
+    if not near_mm > 0:
+        raise ValueError("the distance has to be positive")
+    kinds, names = dict(contours.dtypes), [*columns, "exact", "near"]
+
+    def kernel(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            lists = b.column(len(columns))
+            size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            parts = lists.flatten().flatten()  # a null point has null coordinates
+            xyz = np.stack([p.cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False) for p in parts], axis=1)
+            owner = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+            found = np.zeros((2, len(size)), bool)
+            some = revisits(owner, place, size[owner], xyz, near_mm)
+            found[:, : len(some[0])] = some
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(found[0]), pa.array(found[1])], names)
+
+    points = F.transform("points", lambda p: F.struct(*(p[a].cast("double").alias(a) for a in "xyz")))
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "exact boolean, near boolean"])
+    return contours.select(*columns, points.alias("points")).mapInArrow(kernel, schema)
+
+
 def keyholes(contours: DataFrame, near_mm: float = 0.05) -> DataFrame:
     """mask_id, contour_no, exact, near: whether a contour comes back to a point (exactly, or within
-    ``near_mm``) three or more points later, other than by closing. Points meet those of the cells
-    around them only, so a long contour isn't compared all with all."""
-    p = contours.select("mask_id", "contour_no", F.size("points").alias("n"), F.posexplode("points").alias("i", "p"))
-    cell = [F.floor(F.col(f"p.{a}") / near_mm) for a in "xyz"]
-    steps = F.sequence(F.lit(-1), F.lit(1))
-    around = p.withColumns({f"_{a}": c for a, c in zip("xyz", cell, strict=True)})
-    q = around.select("mask_id", "contour_no", F.col("i").alias("j"), F.col("p").alias("q"), *(f"_{a}" for a in "xyz"))
-    for a in "xyz":
-        around = around.withColumn("_step", F.explode(steps)).withColumn(f"_{a}", F.col(f"_{a}") + F.col("_step")).drop("_step")
-    met = around.join(q, ["mask_id", "contour_no", "_x", "_y", "_z"]).filter((F.col("j") >= F.col("i") + 3) & (F.col("j") - F.col("i") < F.col("n") - 1))
-    far = F.sqrt(sum(((F.col(f"p.{a}") - F.col(f"q.{a}")) * (F.col(f"p.{a}") - F.col(f"q.{a}")) for a in "xyz"), F.lit(0.0)))
-    flags = met.groupBy("mask_id", "contour_no").agg(F.bool_or(far == 0).alias("exact"), F.bool_or(far < near_mm).alias("near"))
-    return contours.select("mask_id", "contour_no").join(flags, ["mask_id", "contour_no"], "left").select("mask_id", "contour_no", F.coalesce("exact", F.lit(False)).alias("exact"), F.coalesce("near", F.lit(False)).alias("near"))
+    ``near_mm``) three or more points later, other than by closing."""
+    return _revisited(contours, near_mm, ["mask_id", "contour_no"])
 
 
 def census(contours: DataFrame, near_mm: float = 0.05, least_points: int = 6) -> DataFrame:
     """mask_id, contours, points, xor_contours, and the closed planar contours of ``least_points``
     and more that come back to a point: exactly, or only nearly (exact_revisits, near_revisits)."""
-    closed = contours.filter((F.col("geometric_type") == "CLOSED_PLANAR") & (F.size("points") >= least_points))
-    back = keyholes(closed, near_mm).groupBy("mask_id").agg(F.count_if("exact").alias("exact_revisits"), F.count_if(F.col("near") & ~F.col("exact")).alias("near_revisits"))
-    every = contours.groupBy("mask_id").agg(F.count("*").alias("contours"), F.sum(F.size("points")).alias("points"), F.count_if(F.col("geometric_type") == "CLOSEDPLANAR_XOR").alias("xor_contours"))
-    return every.join(back, "mask_id", "left").select("mask_id", "contours", "points", "xor_contours", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("exact_revisits", "near_revisits")))
+    sized = contours.withColumn("_n", F.size("points"))
+    rows = _revisited(sized, near_mm, ["mask_id", "geometric_type", "_n"])
+    closed = (F.col("geometric_type") == "CLOSED_PLANAR") & (F.col("_n") >= least_points)
+    return rows.groupBy("mask_id").agg(F.count("*").alias("contours"), F.sum("_n").alias("points"), F.count_if(F.col("geometric_type") == "CLOSEDPLANAR_XOR").alias("xor_contours"), F.count_if(closed & F.col("exact")).alias("exact_revisits"), F.count_if(closed & F.col("near") & ~F.col("exact")).alias("near_revisits"))
 
 
 #: Absolute and relative tolerance of each kind of metric.
