@@ -8,7 +8,10 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from voxelmill.operators import report
+from voxelmill import errors
+from voxelmill.operators import report, structures
+from voxelmill.operators.grid import uniform_grid
+from voxelmill.sources import codec, dicom
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,3 +78,48 @@ def test_revisits_are_found_without_a_join(spark):
     n = 300_000
     xyz = np.stack([np.arange(n) * 1e-9, np.zeros(n), np.zeros(n)], axis=1)
     assert [x.tolist() for x in report.revisits(np.zeros(n, np.int64), np.arange(n), np.full(n, n), xyz, 0.05)] == [[False], [True]]
+
+
+def test_long_contours_are_written_and_read():
+    """20,000 points have more text than a short value can hold."""
+    points = [(i / 7, -i / 3, 2.0) for i in range(20_000)]
+    data = dicom.write_structures([dicom.Roi(0, "a", [dicom.Contour("CLOSED_PLANAR", points, ["1.2"])])])
+    (got,) = dicom.parse_structures(data).rois[0].contours
+    assert np.allclose(got.points, points, atol=1e-6) and got.sop_refs == ["1.2"]
+    assert [(n, i) for n, i, _ in dicom.scan_contours(data)] == [(1, 0)]
+
+
+def test_sequences_of_unknown_length_are_left_and_read():
+    item = codec.encode_dataset(codec.named({"ROINumber": 3, "ROIName": "x"}))
+    wrapped = b"\x06\x30\x39\x00SQ\0\0\xff\xff\xff\xff" + b"\xfe\xff\x00\xe0\xff\xff\xff\xff" + item + b"\xfe\xff\x0d\xe0\0\0\0\0" + b"\xfe\xff\xdd\xe0\0\0\0\0" + item
+    tag = codec.TAGS["ROIContourSequence"][0]
+    got = codec.Reader(wrapped, 0, frozenset([tag])).dataset(len(wrapped))
+    assert codec.View(got).integer("ROINumber") == 3
+    assert [codec.View(x).integer("ROINumber") for x in codec.Reader(wrapped, *got[tag][1][:1]).each(got[tag][1][1])] == [3]
+
+
+@pytest.mark.parametrize("name", ["structure_plane", "structure_roundtrip", "contour_coordinates", "structure_set_masks"])
+def test_no_contour_comes_to_the_driver(spark, name, monkeypatch):
+    """These queries collected all contours and wrote the document there."""
+    for f in ("write_structures", "parse_structures"):
+        monkeypatch.setattr(dicom, f, lambda *a, **k: pytest.fail("on the driver"))
+    assert entry.queries()[name](spark, SF).count() == len(oracle(name, SF, ["lineitem", "events"]))
+
+
+def test_documents_load_as_on_the_driver(spark):
+    grid = uniform_grid(8, 9, 3, frame_uid="1.2.3")
+    box = lambda z, a, b: [(a, a, z), (b, a, z), (b, b, z), (a, b, z)]
+    made = [("set", "a", 4, "CLOSED_PLANAR", box(1.0, 0.5, 6.5), ["1.9.1"]), ("set", "a", 2, "CLOSED_PLANAR", box(1.0, 1.5, 3.5), []), ("set", "b", 1, "CLOSED_PLANAR", box(2.0, 0.0, 4.0), [])]
+    rows = spark.createDataFrame(made, "doc string, " + CONTOURS)
+    files = dicom.write_structure_sets(rows, shuffle=True)
+    data = bytes(files.first().content)
+    loaded, other = structures.load_tables(dicom.read_contours(files), dicom.read_rois(files), grid), structures.load(spark, dicom.parse_structures(data), grid)
+    key = lambda df: sorted((r.mask_id.split("#")[-1], r.k, r.r, r.c) for r in df.collect())
+    assert key(loaded.masks) == key(other.masks) and key(loaded.mask_plane("set#1", 1))
+    facts = lambda df: sorted((r.name, r.n_contours, r.contours, r.interpretation) for r in df.collect())
+    assert facts(loaded.rois) == facts(other.rois) == [("a", 2, 2, "nested-even-odd"), ("b", 1, 1, "none")]
+    assert [c.points[0][0] for _, _, c in dicom.scan_contours(data)] == [1.5, 0.5, 0.0]
+    mixed = rows.union(spark.createDataFrame([("set", "b", 9, "CLOSEDPLANAR_XOR", box(2.0, 1.0, 2.0), [])], rows.schema))
+    files = dicom.write_structure_sets(mixed)
+    with pytest.raises(errors.XorHomogeneityError):
+        structures.load_tables(dicom.read_contours(files), dicom.read_rois(files), grid)

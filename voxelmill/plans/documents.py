@@ -143,12 +143,7 @@ def dose_roundtrip(spark, d):
 @register("structure_roundtrip", "SELECT mask_id AS name, count(DISTINCT contour_no) AS contours, count(*) AS points, 'ORGAN' AS interpreted_type FROM cont GROUP BY 1")
 def structure_roundtrip(spark, d):
     """The event contours written as a structure set with its sequences shuffled, and read back."""
-    rows = t.contours(spark, d).orderBy("mask_id", "contour_no").collect()
-    rois: dict[str, dicom.Roi] = {}
-    for r in rows:
-        rois.setdefault(r.mask_id, dicom.Roi(0, r.mask_id, [])).contours.append(dicom.Contour(r.geometric_type, [(p.x, p.y, p.z) for p in r.points], list(r.sop_refs)))
-    data = dicom.write_structures(list(rois.values()), shuffle=True)
-    files = spark.createDataFrame([("set", bytearray(data))], "doc string, content binary")
+    files = t.structure_files(t.contours(spark, d), shuffle=True)
     outlines = dicom.read_contours(files).groupBy("mask_id").agg(F.count("*").alias("contours"), F.sum(F.size("points")).alias("points"))
     return dicom.read_rois(files).join(outlines, "mask_id", "left").select("name", F.coalesce("contours", F.lit(0)).alias("contours"), F.coalesce("points", F.lit(0)).alias("points"), "interpreted_type")
 
@@ -197,10 +192,7 @@ def dose_on_another_grid(spark, d):
 @register("structure_set_masks", RASTER + " SELECT mask_id, k, r, c FROM filled")
 def structure_set_masks(spark, d):
     """The event contours as a structure set document, loaded whole."""
-    rows = t.contours(spark, d).orderBy("mask_id", "contour_no").collect()
-    rois: dict[str, dicom.Roi] = {}
-    for r in rows:
-        rois.setdefault(r.mask_id, dicom.Roi(0, r.mask_id, [])).contours.append(dicom.Contour(r.geometric_type, [(p.x, p.y, p.z) for p in r.points]))
-    loaded = structures.load(spark, dicom.parse_structures(dicom.write_structures(list(rois.values()))), L)
-    named = loaded.rois.select("mask_id", "name")
-    return loaded.masks.join(named, "mask_id").select(F.col("name").alias("mask_id"), "k", "r", "c")
+    files = t.structure_files(t.contours(spark, d).withColumn("sop_refs", F.array().cast("array<string>")))
+    rois = dicom.read_rois(files)
+    loaded = structures.load_tables(t.read_back(files), rois, L)
+    return loaded.masks.join(F.broadcast(rois.select("mask_id", "name")), "mask_id").select(F.col("name").alias("mask_id"), "k", "r", "c")

@@ -215,13 +215,6 @@ def outline_order(spark, d):
     return contours.vectorize(boxes, L).select("mask_id", F.posexplode("points").alias("i", "p")).select("mask_id", "i", "p.x", "p.y")
 
 
-def outlines(rows) -> list[dicom.Roi]:
-    rois: dict[str, dicom.Roi] = {}
-    for r in rows:
-        rois.setdefault(r.mask_id, dicom.Roi(0, r.mask_id, [])).contours.append(dicom.Contour(r.geometric_type, [(p.x, p.y, p.z) for p in r.points], list(r.sop_refs)))
-    return list(rois.values())
-
-
 def document(spark, data: bytes, doc: str = "doc"):
     return spark.createDataFrame([(doc, bytearray(data))], "doc string, content binary")
 
@@ -229,10 +222,10 @@ def document(spark, data: bytes, doc: str = "doc"):
 @register("contour_coordinates", f"SELECT mask_id, n::INT AS contour_no, (i - 1)::INT AS i, round(x / 3, 6) AS x, round(2 * y / 7, 6) AS y FROM (SELECT *, dense_rank() OVER (PARTITION BY mask_id ORDER BY contour_no) - 1 AS n FROM cont)")
 def contour_coordinates(spark, d):
     """Coordinates that have no short decimals, written with six of them."""
-    rows = t.contours(spark, d).withColumn("points", F.transform("points", lambda p: F.struct((p["x"] / 3).alias("x"), (p["y"] / 7).alias("y"), p["z"].alias("z")))).orderBy("mask_id", "contour_no").collect()
-    back = dicom.read_contours(document(spark, dicom.write_structures(outlines(rows))))
-    names = dicom.read_rois(document(spark, dicom.write_structures(outlines(rows)))).select(F.col("mask_id").alias("id"), "name")
-    out = back.join(names, F.col("mask_id") == F.col("id")).select(F.col("name").alias("mask_id"), "contour_no", F.posexplode("points").alias("i", "p"))
+    rows = t.contours(spark, d).withColumn("points", F.transform("points", lambda p: F.struct((p["x"] / 3).alias("x"), (p["y"] / 7).alias("y"), p["z"].alias("z"))))
+    files = t.structure_files(rows)
+    names = dicom.read_rois(files).select(F.col("mask_id").alias("id"), "name")
+    out = t.read_back(files).join(F.broadcast(names), F.col("mask_id") == F.col("id")).select(F.col("name").alias("mask_id"), "contour_no", F.posexplode("points").alias("i", "p"))
     return rounded(out.select("mask_id", "contour_no", "i", "p.x", "p.y"), "x", "y")
 
 
@@ -246,9 +239,10 @@ def structure_from_mask(spark, d):
 
 @register("structure_plane", RASTER + " SELECT k, r, c FROM filled WHERE mask_id = 'roi1' AND k = 2")
 def structure_plane(spark, d):
-    rows = t.contours(spark, d).orderBy("mask_id", "contour_no").collect()
-    parsed = dicom.parse_structures(dicom.write_structures(outlines(rows)))
-    return structures.load(spark, parsed, L).mask_plane(parsed.roi("roi1").number, 2).select("k", "r", "c")
+    files = t.structure_files(t.contours(spark, d))
+    rois = dicom.read_rois(files)
+    (roi,) = rois.filter("name = 'roi1'").collect()
+    return structures.load_tables(t.read_back(files), rois, L).mask_plane(roi.mask_id, 2).select("k", "r", "c")
 
 
 # --- metadata --------------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelmill.operators.grid import Grid, create_grid
+from voxelmill.sources import dicom
 
 HEIGHTS = (0.0, 2.0, 4.0, 7.0, 9.0, 12.0, 14.0)
 GRID = create_grid(11, 50, planes=[(0.0, 0.0, z) for z in HEIGHTS], spacing=(2.0, 1.0), frame_uid="1.2.3")
@@ -36,6 +37,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a folder of its own and read back, so that it is made once however often it is
+    read. Without dictionaries: they would hold whole documents once more."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("parquet.enable.dictionary", "false").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k, r, c, v, n and tax (cents) of the populated voxels: one partial aggregation of four columns."""
     key = [(F.col("l_linenumber") - 1).cast("int").alias("k"), F.round(F.col("l_discount") * 100).cast("int").alias("r"), (F.col("l_quantity") - 1).cast("int").alias("c")]
@@ -73,6 +82,16 @@ def contours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.concat(F.lit("roi"), (F.col("user_id") % 5).cast("string")).alias("mask_id"), F.col("user_id").cast("int").alias("contour_no"), F.lit("CLOSED_PLANAR").alias("geometric_type"), F.transform("items", lambda i: i["p"]).alias("points"), refs.alias("sop_refs"))
 
 
+def structure_files(outlines: DataFrame, **options) -> DataFrame:
+    """Contours (see ``contours``) as one structure set, written in the tasks: doc, content."""
+    return settled(dicom.write_structure_sets(outlines.withColumn("doc", F.lit("set")), **options), "structure_set")
+
+
+def read_back(files: DataFrame) -> DataFrame:
+    """The contours of ``structure_files``, dealt anew: one task reads a document, many work on it."""
+    return settled(dicom.read_contours(files).repartition("mask_id", "contour_no"), "outlines")
+
+
 def slices(spark: SparkSession) -> DataFrame:
     """A slice UID for each plane of Grid L."""
     return spark.createDataFrame([(f"1.9.{k + 1}", k) for k in range(len(HEIGHTS))], "sop_uid string, k int")
