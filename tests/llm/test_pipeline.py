@@ -219,3 +219,19 @@ def test_pipeline_equals_brute_force(spark):
     for r in cp.run(spark, SF).collect():
         got[r.doc_id, r.doc_tokens] += r.length
     assert got == expected and len(got) > 50
+
+
+def test_fingerprints_within_four_bits_are_candidates(spark):
+    """Pairs that the deletion-variant signatures find, and no band: they are checked exactly too."""
+    from voxelmill.llm import jaccard, simhash
+
+    rng = np.random.default_rng(4)
+    base = [int(x) for x in rng.integers(-(2**62), 2**62, 40)]
+    near = [x ^ sum(1 << int(b) for b in rng.choice(60, i % 7, replace=False)) for i, x in enumerate(base)]
+    prints = [*base, *near]
+    rows = [(i, 5, p, *(int(x) for x in rng.integers(-(2**62), 2**62, 3)), [int(rng.integers(2**62))]) for i, p in enumerate(prints)]
+    empty = [(-1, 0, 0, 0, 0, 0, []), (-2, 5, 1, 0, 0, 0, [7])]
+    distinct = spark.createDataFrame([*rows, *empty], "node long, n long, f0 long, f1 long, f2 long, f3 long, bands array<long>")
+    got = {frozenset((r.u, r.v)) for r in jaccard.candidates(distinct, bucket_limit=16384).collect()}
+    assert got == {frozenset((i, i + 40)) for i in range(40) if i % 7 <= 4}
+    assert jaccard.links is simhash.links

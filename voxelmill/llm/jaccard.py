@@ -1,8 +1,10 @@
 """Near-duplicates by exact Jaccard similarity of word shingles.
 
-Candidates come first: the least hashes of a text's shingles under 128 fixed functions, in 32 bands
-of four. Texts of similarity s meet in a band with probability s^4, so at 0.8 one pair in twenty
-million meets in none. Of texts that meet, those whose fingerprints of 256 bits differ in more than
+Candidates come first. The SimHash fingerprints of the texts meet through their deletion-variant
+signatures, as in ``simhash``: all pairs within four bits. Pairs of similarity 0.8 mostly differ in more,
+so the least hashes of a text's shingles under 128 fixed functions, in 32 bands of four, find the rest.
+Texts of similarity s meet in a band with probability s^4, so at 0.8 one pair in twenty
+million meets in none. Of texts that meet there, those whose fingerprints of 256 bits differ in more than
 88 (38.7 on average at 0.8, spread some 6) are no candidates. Each group that candidates connect is
 then solved exactly: two texts are linked if and only if their sets of shingles are as similar as
 asked. Very large groups are split into blocks, and every pair of blocks is solved by itself.
@@ -17,7 +19,7 @@ from voxelmill.llm._shared import HOT_ROWS, join_counted, settle, small_side, te
 from voxelmill.llm.components import components
 from voxelmill.llm.simhash import fold, links, shingle_hashes, signed
 
-BANDS, BAND_ROWS, TABLES, CANDIDATE_BITS = 32, 4, 4, 88
+BANDS, BAND_ROWS, TABLES, CANDIDATE_BITS, RADIUS = 32, 4, 4, 88, 4
 
 
 def shingle_set(text: bytes, words: int):
@@ -124,6 +126,15 @@ def similar_links(sets, least: tuple[int, int]) -> list[tuple[int, int]]:
     return out
 
 
+def candidates(distinct: DataFrame, *, bucket_limit: int) -> DataFrame:
+    """Edges (u, v: long) that connect the texts of ``distinct`` (see ``sketches``) which may be similar:
+    those whose fingerprints differ in at most ``RADIUS`` bits, by their deletion-variant signatures, and
+    those that meet in a band. Texts without words are one node, similar to no other."""
+    named = distinct.filter("n > 0")
+    signed_ = links(named.select("node", "f0"), radius=RADIUS, bucket_limit=bucket_limit)
+    return signed_.union(links(distinct, radius=64, tables=TABLES, total=CANDIDATE_BITS, bucket_limit=bucket_limit, keys="bands"))
+
+
 def verified(chosen: DataFrame, texts: DataFrame, *, words: int, least: tuple[int, int], block_shingles: int, hot_rows: int) -> DataFrame:
     """Edges (u, v: long) among ``chosen`` (settled: node, n, row, label; distinct nodes): within each
     label a spanning forest of the pairs that are similar. ``texts``: row and text."""
@@ -158,7 +169,7 @@ def classes(docs: DataFrame, *, row: str, words: int = 5, least: tuple[int, int]
     prints = [f"f{t}" for t in range(TABLES)]
     marked = settle(sketches(docs, words=words, keep=(row, *keep)), "sketches")
     distinct = settle(marked.groupBy("node").agg(F.count("*").alias("copies"), F.min(row).alias("row"), F.min("n").alias("n"), *(F.min(c).alias(c) for c in prints), F.min("bands").alias("bands")), "distinct_texts")
-    near = components(links(distinct, radius=64, tables=TABLES, total=CANDIDATE_BITS, bucket_limit=bucket_limit, keys="bands"))
+    near = components(candidates(distinct, bucket_limit=bucket_limit))
     near = near.select(F.col("node").alias("_node"), "label")
     chosen = settle(distinct.select("node", "n", "row").join(near, F.col("node") == F.col("_node")).drop("_node"), "candidates")
     texts = docs.select(F.col(row).alias("row"), text_or_empty().alias("text"))
