@@ -123,3 +123,25 @@ def test_documents_load_as_on_the_driver(spark):
     files = dicom.write_structure_sets(mixed)
     with pytest.raises(errors.XorHomogeneityError):
         structures.load_tables(dicom.read_contours(files), dicom.read_rois(files), grid)
+
+
+@pytest.fixture(scope="module")
+def grown(tmp_path_factory):
+    """Events 20 times, with other keys each time: 300 contours."""
+    folder = tmp_path_factory.mktemp("grown")
+    for table, rows in (("lineitem", f"SELECT * FROM '{SF}/lineitem.parquet'"), ("events", f"SELECT * EXCLUDE (j) REPLACE (event_id + 100000 * j AS event_id, user_id + 15 * j AS user_id) FROM '{SF}/events.parquet', range(20) t(j)")):
+        duckdb.execute(f"COPY ({rows}) TO '{folder}/{table}.parquet' (FORMAT parquet)")
+    return str(folder)
+
+
+def same_as_sql(df, name, folder):
+    want = oracle(name, folder, ["lineitem", "events"])
+    return sorted(map(tuple, df.collect())) == sorted(want) and bool(want)
+
+
+def test_keyholes_of_many_contours_need_no_broadcast(spark, grown):
+    """The points were joined with themselves, and the driver held them to broadcast them."""
+    df = entry.queries()["keyhole_census"](spark, grown)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    assert same_as_sql(df, "keyhole_census", grown)
