@@ -2,10 +2,12 @@
 and documents that are written and read in the tasks."""
 
 import math
+import pickle
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 import __spark_entry__ as entry
 from voxelmill import errors
@@ -145,3 +147,25 @@ def test_keyholes_of_many_contours_need_no_broadcast(spark, grown):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Broadcast" not in plan
     assert same_as_sql(df, "keyhole_census", grown)
+
+
+@pytest.mark.parametrize("name", ["structure_roundtrip"])
+def test_documents_of_many_contours_pass_the_driver_by(spark, grown, name, monkeypatch):
+    """The driver held all contours, and the document that it made of them."""
+    sizes = []
+
+    def seen(f, held):
+        def call(*args, **options):
+            out = f(*args, **options)
+            sizes.append(len(pickle.dumps(held(args, out))))
+            return out
+
+        return call
+
+    with monkeypatch.context() as m:
+        for way in ("collect", "toArrow", "toPandas"):
+            m.setattr(DataFrame, way, seen(getattr(DataFrame, way), lambda args, out: out))
+        m.setattr(type(spark), "createDataFrame", seen(type(spark).createDataFrame, lambda args, out: args[1]))
+        df = entry.queries()[name](spark, grown)
+    assert sum(sizes) < 10_000
+    assert same_as_sql(df, name, grown)
