@@ -149,7 +149,7 @@ def test_keyholes_of_many_contours_need_no_broadcast(spark, grown):
     assert same_as_sql(df, "keyhole_census", grown)
 
 
-@pytest.mark.parametrize("name", ["structure_roundtrip", "contour_coordinates"])
+@pytest.mark.parametrize("name", ["structure_roundtrip", "contour_coordinates", "structure_set_masks"])
 def test_documents_of_many_contours_pass_the_driver_by(spark, grown, name, monkeypatch):
     """The driver held all contours, and the document that it made of them."""
     sizes = []
